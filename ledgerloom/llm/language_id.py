@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,8 @@ from .common import small_batches
 UNDETERMINED = "und"
 
 
-def language_dictionaries(train: DataFrame, sample_docs: int = 200, sample_chars: int = 4000, dict_bytes: int = 96 << 10, most_languages: int = 256) -> dict[str, bytes]:
-    """Raw-content dictionaries of at most dict_bytes, one for each non-null lang of train (columns doc_id, text, lang).
+def language_dictionaries(train: DataFrame, sample_docs: int = 100, sample_chars: int = 2000, dict_bytes: int = 48 << 10, most_languages: int = 256) -> dict[str, bytes]:
+    """Raw-content dictionaries of at most dict_bytes, one for each non-null lang of train, most frequent language first.
 
     Learned from a bounded sample: the sample_docs documents of each language whose identifiers hash lowest, sample_chars of each.
     Compression gives every language dict_bytes at most, so what the driver holds does not grow with the corpus.
@@ -29,39 +30,54 @@ def language_dictionaries(train: DataFrame, sample_docs: int = 200, sample_chars
     limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, 2 * sample_docs / n) * spread))))
     picked = train.where(order < F.coalesce(limits[F.col("lang")], F.lit(0)))
     picked = picked.select("lang", F.substring("text", 1, sample_chars).alias("text"), order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(4 * sample_docs * len(counts))
-    parts: dict[str, list[bytes]] = {}
+    parts: dict[str, list[str]] = {}
     for row in picked.collect():
         if len(got := parts.setdefault(row.lang, [])) < sample_docs:
-            got.append(row.text.encode("utf-8", "replace"))
-    # the content nearest the end of a dictionary is the cheapest to refer to; any order does
-    return {lang: b"\n".join(got)[-dict_bytes:] for lang, got in sorted(parts.items())}
+            got.append(letters(row.text))
+    return {lang: "".join(parts[lang]).encode("utf-8", "replace")[-dict_bytes:] for lang in counts if "".join(parts.get(lang, [])).strip()}
+
+
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower-case words, one space around each: case, digits and punctuation say nothing about the language."""
+    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} "
 
 
 class Compressors:
-    """One compressor for each language; sizes() gives the bytes that each makes of a text."""
+    """One compressor for each language; sizes() gives the bytes that each makes of a text.
+
+    The end of the dictionary itself is put before each text. It costs the same few bytes in every language, and keeps zstandard
+    from storing short texts as they are, which would make all sizes equal.
+    """
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int):
-        self.languages = sorted(dictionaries)
-        params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
+    def __init__(self, dictionaries: dict[str, bytes], carrier_bytes: int = 256):
+        self.languages = list(dictionaries)
+        params = zstandard.ZstdCompressionParameters(
+            window_log=17, chain_log=15, hash_log=15, search_log=3, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
         self.each = []
         for lang in self.languages:
             learned = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.each.append(zstandard.ZstdCompressor(dict_data=learned, compression_params=params))
+            learned.precompute_compress(compression_params=params)
+            compressor, carrier = zstandard.ZstdCompressor(dict_data=learned, compression_params=params), dictionaries[lang][-carrier_bytes:]
+            self.each.append((compressor, carrier, len(compressor.compress(carrier))))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "replace")
-        return [len(c.compress(raw)) for c in self.each]
+        raw = letters(text).encode("utf-8", "replace")
+        return [max(0, len(c.compress(carrier + raw)) - alone) for c, carrier, alone in self.each]
 
 
 def decide(sizes: list[int], languages: list[str], margin: float) -> tuple[str, float, bool]:
-    """Smallest size (the first language of equals), its lead over the next as a share of that, and whether it is too narrow."""
-    ranked = sorted(zip(sizes, languages, strict=True))
-    best, lang = ranked[0]
+    """Smallest size (of equals the first language), its lead over the next as a share of that, and whether it is too narrow."""
+    ranked = sorted((size, i) for i, size in enumerate(sizes))
+    best, i = ranked[0]
     lead = 1.0 if len(ranked) == 1 else (ranked[1][0] - best) / max(1, ranked[1][0])
-    return lang, lead, lead < margin
+    return languages[i], lead, lead < margin
 
 
-def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002, level: int = 3) -> DataFrame:
+def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of docs (doc_id, text); whole texts are compressed.
 
     Null texts and those without a letter are `und`, score 0, rejected; so is everything if no language was learned. A text whose
@@ -71,7 +87,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: f
     small_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tools = Compressors(dictionaries, level)
+        tools = Compressors(dictionaries)
         for batch in batches:
             rows = []
             for text in batch["text"]:

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
+from .packing import pack_documents
+from .toxicity import score_toxicity, train_chain
+from .training_order import materialise_order, order_path
 from .url_filter import url_verdicts
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, train_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = language_dictionaries(docs.where(~held_out()))
@@ -24,14 +32,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise_order(table(spark, sf_dir, "documents").select("doc_id", "text"), order_path(spark))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), spark)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_training_order": op5_training_order,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
     }
 
