@@ -7,8 +7,6 @@ migrates to the next island of its block. Then the bins that stayed underfilled
 until one block is left.
 """
 
-from __future__ import annotations
-
 import math
 import random
 import zlib
@@ -158,7 +156,7 @@ ISLAND = "block long, island int, n int, lengths binary, owner binary"
 def pack_blocks(units: DataFrame, size: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
     """units (block, unit, length) with the number of the bin that holds each in its block. A block's units fit into one task."""
 
-    def begin(key, group: pd.DataFrame) -> pd.DataFrame:
+    def begin(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group.sort_values("unit")["length"].to_numpy(np.int32)
         rows = []
         for island in range(islands):
@@ -166,7 +164,7 @@ def pack_blocks(units: DataFrame, size: int, islands: int, epochs: int, generati
             rows += [(key[0], island, len(lengths), lengths.tobytes(), _to_bytes(x, len(lengths))) for x in founders(lengths.tolist(), size, 3, rng)]
         return pd.DataFrame(rows, columns=["block", "island", "n", "lengths", "owner"])
 
-    def epoch(key, group: pd.DataFrame) -> pd.DataFrame:
+    def epoch(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = np.frombuffer(group["lengths"].iloc[0], dtype=np.int32).tolist()
         owners = sorted(set(group["owner"]))
         rng = random.Random(f"{seed}/{key[0]}/{key[1]}/{len(owners)}")
@@ -177,7 +175,7 @@ def pack_blocks(units: DataFrame, size: int, islands: int, epochs: int, generati
             rows.append((key[0], (key[1] + 1) % islands, len(lengths), raw, rows[0][4]))
         return pd.DataFrame(rows, columns=["block", "island", "n", "lengths", "owner"])
 
-    def settle(key, group: pd.DataFrame, packings: pd.DataFrame) -> pd.DataFrame:
+    def settle(key: tuple, group: pd.DataFrame, packings: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("unit").reset_index(drop=True)
         lengths = group["length"].tolist()
         bins = max((_from_bytes(x) for x in packings["owner"]), key=lambda x: fitness(x, lengths, size))
