@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,25 +114,24 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(raw) + 1))
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buffer[start:end]; equal bytes have equal hashes wherever they lie."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of buffer[start:end]; equal bytes have equal hashes wherever they lie. No span is empty.
+
+    Works on spans of about step bytes together at a time, so that its memory does not grow with the batch.
+    """
     lengths = ends - starts
-    longest = int(lengths.max())
-    if longest <= 4096:
-        # each span's own powers: value of byte times PRIME ** place in the span
-        place = np.arange(len(buffer), dtype=np.int64)
-        shift = np.repeat(starts, lengths)
-        member = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = np.arange(int(lengths.sum()), dtype=np.int64) - member
-        del place
-        values = _BYTE_VALUES[buffer[shift + at]] * _powers(longest)[at]
-        sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-    else:
-        powers = _powers(longest)
-        sums = np.array([(_BYTE_VALUES[buffer[s:e]] * powers[: e - s]).sum(dtype=np.uint64) for s, e in zip(starts, ends, strict=True)], dtype=np.uint64)
-    return mix(sums + lengths.astype(np.uint64) * _ODD)
+    out = np.empty(len(starts), dtype=np.uint64)
+    total = np.cumsum(lengths)
+    done = 0
+    while done < len(starts):
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + step)))
+        own, n = starts[done:upto], lengths[done:upto]
+        ends_of = np.cumsum(n)
+        at = np.arange(int(ends_of[-1]), dtype=np.int64) - np.repeat(ends_of - n, n)
+        values = _BYTE_VALUES[buffer[np.repeat(own, n) + at]] * _powers(int(n.max()))[at]
+        out[done:upto] = np.add.reduceat(values, ends_of - n)
+        done = upto
+    return mix(out + lengths.astype(np.uint64) * _ODD)
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -152,3 +152,16 @@ def frames(batches: Iterator, bytes_each: int = 8 << 20, text: str = "text") ->
         part = (np.cumsum(sizes) - sizes) // bytes_each if len(sizes) else sizes
         for p in np.unique(part):
             yield batch[part == p].reset_index(drop=True)
+
+
+def shards(batches: Iterator, bytes_each: int = 4 << 20, text: str = "text") -> Iterator:
+    """Batches put together, or cut, so that each holds about bytes_each of text (a single longer text stays whole)."""
+    held, size = [], 0
+    for part in frames(batches, bytes_each, text):
+        held.append(part)
+        size += int(part[text].map(lambda t: 0 if t is None else len(t)).sum())
+        if size >= bytes_each:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

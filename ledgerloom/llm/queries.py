@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import benchmark_phrases, contamination_report, find_contamination
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
 from .packing import pack_documents
@@ -27,6 +28,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, dictionaries).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = benchmark_phrases(table(spark, sf_dir, "benchmark"))
+    return contamination_report(find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), phrases))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
+        "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_training_order": op5_training_order,
         "op9_best_fit_packing": op9_best_fit_packing,
