@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import benchmark_phrases, contamination_report, find_contamination
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
+from .ngram_join import similar_documents
 from .packing import pack_documents
 from .toxicity import score_toxicity, train_chain
 from .training_order import materialise_order, order_path
@@ -42,6 +43,10 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise_order(table(spark, sf_dir, "documents").select("doc_id", "text"), order_path(spark))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_training_order": op5_training_order,
+        "op6_ngram_join": op6_ngram_join,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
     }
