@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
 from .ngram_join import similar_documents
 from .packing import pack_documents
+from .suffix_dedup import removal_report, remove_repeats
 from .toxicity import score_toxicity, train_chain
 from .training_order import materialise_order, order_path
 from .url_filter import url_verdicts
@@ -47,6 +48,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_training_order": op5_training_order,
         "op6_ngram_join": op6_ngram_join,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
     }
