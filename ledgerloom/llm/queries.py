@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import benchmark_phrases, contamination_report, find_contamination
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
+from .line_dedup import delete_repeated_lines
 from .ngram_join import similar_documents
 from .packing import pack_documents
 from .suffix_dedup import removal_report, remove_repeats
@@ -52,6 +53,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_training_order": op5_training_order,
         "op6_ngram_join": op6_ngram_join,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
     }
