@@ -1,4 +1,66 @@
-"""From raw documents to packed training sequences. Each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""From raw documents to packed training sequences.
+
+STAGES are applied in order; each takes (spark, docs, sf_dir), works on every row that the one before kept, and returns a DataFrame
+that is written as Parquet and read again. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.common import materialise
+from ledgerloom.llm.decontaminate import benchmark_phrases, find_contamination
+from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.language_id import held_out, identify_language, language_dictionaries
+from ledgerloom.llm.ngram_join import similar_documents
+from ledgerloom.llm.packing import pack_documents
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language was told; those without letters or with too narrow a margin go."""
+    judged = identify_language(docs, language_dictionaries(docs.where(~held_out())))
+    gone = judged.where("rejected").select("doc_id")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first of equal texts."""
+    return exact_dedup(docs).where("kept").select(docs.columns)
+
+
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group that links of similarity 0.8 or more over five-word shingles connect."""
+    gone = similar_documents(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without a window of benchmark words."""
+    phrases = benchmark_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = find_contamination(docs, phrases).where("n_hit > 0").select("doc_id")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 ids."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_jaccard_join", similar_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL expresses neither compression nor the tokenizer; tests/llm holds the pipeline against plain Python.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
