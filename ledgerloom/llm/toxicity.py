@@ -32,7 +32,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) -> np.ndarray:
     """Weights (the last is the intercept) of a regularised logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1]) * l2
@@ -69,7 +69,7 @@ def _presence(docs: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int, count: int = 128) -> list[Link]:
+def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int, count: int = 256) -> list[Link]:
     """docs: distinct word hashes of each document. labels: 0/1 for each category, in chain order. folds: of each document."""
     earlier, links = np.zeros((len(docs), 0)), []
     for name, y in labels.items():
@@ -95,7 +95,7 @@ def distinct_words(words: Words) -> Iterator[np.ndarray]:
         yield np.unique(words.hashes[a:b])
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), sample_docs: int = 6000, n_folds: int = 5) -> list[Link]:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), sample_docs: int = 10_000, n_folds: int = 5) -> list[Link]:
     """A chain fitted on at most sample_docs labelled documents, those whose identifiers hash lowest.
 
     Rows with a null label or identifier are left out; a document that is labelled twice counts with its least row. Only hashed
@@ -119,7 +119,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
     return fit_chain(found, {c: rows[c].to_numpy() for c in categories}, np.arange(len(rows)) % n_folds, n_folds)
 
 
-def score_toxicity(docs: DataFrame, chain: list[Link], threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, chain: list[Link], threshold: float = 0.3) -> DataFrame:
     """doc_id, a probability prob_<category> for each link, and toxic (that of the last link is at least threshold).
 
     Whole texts are scored. Null and empty texts, having no words, get the intercepts' probability and are never toxic. Repeated rows
