@@ -99,7 +99,10 @@ def _bytes(text: str | None) -> bytes:
 
 
 def context_rows(texts: DataFrame, length: int) -> DataFrame:
-    """gram, context, unit, low, high, anchor for every run of windows of texts (unit, text)."""
+    """gram, context, unit, low, high, anchor, weight for every run of windows of texts (unit, text).
+
+    Of equal contexts of a buffer the first stands for all (weight: their number); the others have weight 0.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Anchors(length)
@@ -109,9 +112,14 @@ def context_rows(texts: DataFrame, length: int) -> DataFrame:
                 run = tool.runs(buffer, ends)
                 of = np.searchsorted(ends, run["low"], side="right")
                 shift = offset[of] - (ends - np.diff(ends, prepend=0))[of]
-                yield pd.DataFrame({"gram": run["gram"], "context": run["context"], "unit": units[number[of]], "low": run["low"] + shift, "high": run["high"] + shift, "anchor": run["anchor"] + shift})
+                weight = np.zeros(len(of), np.int32)
+                if len(of):
+                    both = mix(run["gram"].view(np.uint64)) ^ run["context"].view(np.uint64)
+                    _, first, count = np.unique(both, return_index=True, return_counts=True)
+                    weight[first] = count
+                yield pd.DataFrame({"gram": run["gram"], "context": run["context"], "unit": units[number[of]], "low": run["low"] + shift, "high": run["high"] + shift, "anchor": run["anchor"] + shift, "weight": weight})
 
-    return texts.mapInPandas(emit, "gram long, context long, unit long, low long, high long, anchor long")
+    return texts.mapInPandas(emit, "gram long, context long, unit long, low long, high long, anchor long, weight int")
 
 
 def cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -272,13 +280,17 @@ def repeated_windows(texts: DataFrame, length: int, chunk: int, most_bucket: int
     """unit, low, high: starts from low to high of strings of length bytes that also start elsewhere."""
     hot = materialise(frequent_grams(texts, length), "suffix-frequent")
     rows = context_rows(texts, length).join(checked_broadcast(hot.withColumn("hot", F.lit(True))), "gram", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(1 << 12)).cast("int")).otherwise(0))
+    # rows of weight 0 are known to be repeated and need no company; they are dealt out evenly
+    spread = F.when(F.col("weight") == 0, -1 - F.pmod(F.xxhash64("unit", "low"), F.lit(1 << 12))).when(F.col("hot"), F.pmod("context", F.lit(1 << 12))).otherwise(0)
+    rows = rows.withColumn("salt", spread.cast("int"))
     bucket, same = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "context")
-    rows = rows.withColumn("n", F.count("*").over(bucket)).withColumn("k", F.count("*").over(same)).where((F.col("n") > 1) | F.col("hot"))
+    rows = rows.withColumn("n", F.count("*").over(bucket)).withColumn("k", F.sum("weight").over(same))
+    rows = rows.withColumn("k", F.when(F.col("weight") == 0, 2).otherwise(F.col("k"))).where((F.col("n") > 1) | (F.col("k") > 1) | F.col("hot"))
     rows = rows.withColumn("place", F.row_number().over(same.orderBy("unit", "low")))
     # a context that occurs once in a bucket with others has to be compared with one of each of them
     rows = rows.withColumn("open", F.col("k") == 1).withColumn("unsettled", F.max("open").over(bucket))
-    rows = materialise(rows.select("gram", "unit", "low", "high", "anchor", "open", "k", ((F.col("place") == 1) & (F.col("unsettled") | F.col("hot").isNotNull())).alias("sent")), "suffix-runs")
+    sent = (F.col("weight") > 0) & (F.col("place") == 1) & (F.col("unsettled") | F.col("hot").isNotNull())
+    rows = materialise(rows.select("gram", "unit", "low", "high", "anchor", "open", "k", sent.alias("sent")), "suffix-runs")
     whole = rows.where("k > 1").select("unit", "low", "high")
     sent = rows.where("sent")
     large = materialise(sent.groupBy("gram").count().where(F.col("count") > most_bucket).select("gram"), "suffix-large")
