@@ -1,0 +1,14 @@
+"""All registered queries of the library."""
+
+from . import kv_queries, log_queries, stream_queries
+from .registry import QUERIES, SQL, Query
+
+__all__ = ["kv_queries", "log_queries", "oracle_sql", "queries", "stream_queries"]
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
