@@ -145,7 +145,7 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total + np.uint64(k))
 
 
-def frames(batches: Iterator, bytes_each: int = 8 << 20, text: str = "text") -> Iterator:
+def frames(batches: Iterator, bytes_each: int = 4 << 20, text: str = "text") -> Iterator:
     """Batches cut or kept so that one holds about bytes_each of text at most (a single longer text stays whole)."""
     for batch in batches:
         sizes = batch[text].map(lambda t: 0 if t is None else len(t)).to_numpy()
@@ -154,7 +154,7 @@ def frames(batches: Iterator, bytes_each: int = 8 << 20, text: str = "text") ->
             yield batch[part == p].reset_index(drop=True)
 
 
-def shards(batches: Iterator, bytes_each: int = 4 << 20, text: str = "text") -> Iterator:
+def shards(batches: Iterator, bytes_each: int = 2 << 20, text: str = "text") -> Iterator:
     """Batches put together, or cut, so that each holds about bytes_each of text (a single longer text stays whole)."""
     held, size = [], 0
     for part in frames(batches, bytes_each, text):

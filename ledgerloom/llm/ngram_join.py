@@ -2,9 +2,10 @@
 
 Equal n-gram sets are one class from the start. N-grams are ordered rare first, by a sketch of their document counts, and a set's
 first few (its prefix) must meet the prefix of any similar set. Prefix n-grams that two sets have are joined; length, position and
-suffix (how the sets divide over parts of the hash space) rule out most pairs before whole sets are compared. Each round compares
-sets with one pivot of every n-gram, and then drops all pairs that links already connect; a last round compares the pairs left.
-No pair is compared twice.
+suffix rule out most pairs before whole sets are compared. The suffix filter bounds the difference of two sets from below: each set
+carries the parities of its counts in 512 parts of the hash space, and two sets differ in at least as many n-grams as parities.
+Each n-gram names the most central of its sets as pivot. First every set is compared with the one pivot that most of its n-grams name;
+then, of all pairs that meet, those that links don't connect yet. No pair is compared twice.
 """
 
 import math
@@ -20,8 +21,9 @@ from .common import Words, checked_broadcast, materialise, mix, rolled, shards,
 from .components import connected_components
 
 SKETCH_BLOCK = 4096
-#: Parts of the hash space whose counts the suffix filter compares.
-PARTS = 8
+#: Parts of the hash space whose parities the suffix filter compares, and the columns that hold them.
+PARTS = 512
+PARITIES = [f"s{i}" for i in range(PARTS // 64)]
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -37,18 +39,24 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(grams) else 0
 
 
+def parities(grams: np.ndarray) -> list[int]:
+    """Which of PARTS parts of the hash space hold an odd number of n-grams, as 64-bit words."""
+    odd = np.bincount((grams >> np.uint64(64 - 9)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, a (set_key) and parts (counts by PARTS of the hash space) for every row of docs."""
+    """doc_id, n, a (set_key) and parities for every row of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in shards(batches):
-            rows = [(len(g), set_key(g), np.bincount((g >> np.uint64(61)).astype(np.int64), minlength=PARTS).tolist()) for g in shingle_sets(list(batch["text"]), k)]
-            out = pd.DataFrame(rows, columns=["n", "a", "parts"])
+            rows = [(len(g), set_key(g), *parities(g)) for g in shingle_sets(list(batch["text"]), k)]
+            out = pd.DataFrame(rows, columns=["n", "a", *PARITIES])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.mapInPandas(describe, f"doc_id {id_type}, n int, a long, parts array<int>")
+    return docs.mapInPandas(describe, f"doc_id {id_type}, n int, a long, {', '.join(f'{c} long' for c in PARITIES)}")
 
 
 def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
@@ -63,7 +71,7 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.uint32)
         for batch in shards(batches):
             grams = [*shingle_sets(list(batch["text"]), k), np.zeros(0, np.uint64)]
-            total += np.bincount((np.concatenate(grams) >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            np.add.at(total, (np.concatenate(grams) >> shift).astype(np.int64), 1)
         pack = zstandard.ZstdCompressor(level=1)
         for at in range(0, blocks, 64):
             rows = [(b, pack.compress(total[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].tobytes())) for b in range(at, min(blocks, at + 64)) if total[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].any()]
@@ -133,18 +141,44 @@ def _overlap_needed(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / (100 + percent))
 
 
-def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (u > v) of rows (token, a, n, pos, root, parts) of the two tables that pass all filters."""
-    y = y.select("token", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "pos", "root", "parts")))
-    pairs = x.join(y, "token").where("root <> root2")
+def _candidates(x: DataFrame, y: DataFrame, percent: int, more: Column) -> DataFrame:
+    """Pairs, one for each token that they meet in, of rows (token, a, n, pos, ...) that pass the length and position filters and more."""
+    y = y.select("token", *(F.col(c).alias(f"{c}2") for c in y.columns if c != "token"))
     need = _overlap_needed(F.col("n"), F.col("n2"), percent)
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     reach = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    apart = F.aggregate(F.zip_with("parts", "parts2", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    pairs = pairs.where((100 * small >= percent * large) & (reach >= need) & (apart <= F.col("n") + F.col("n2") - 2 * need))
+    return x.join(y, "token").where((F.col("a") != F.col("a2")) & (100 * small >= percent * large) & (reach >= need) & more)
+
+
+def _near(percent: int) -> Column:
+    """The suffix filter, for rows with n and parities of both sets."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in PARITIES), F.lit(0))
+    return differ <= F.col("n") + F.col("n2") - 2 * _overlap_needed(F.col("n"), F.col("n2"), percent)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs u > v."""
     return pairs.select(F.greatest("a", "a2").alias("u"), F.least("a", "a2").alias("v")).distinct()
 
 
+def _most_named(pairs: DataFrame) -> DataFrame:
+    """For each a the a2 that most of its tokens name (of equals the least)."""
+    counts = pairs.groupBy("a", "a2").agg(F.count("*").alias("k"))
+    return counts.groupBy("a").agg(F.max_by("a2", F.struct("k", -F.col("a2"))).alias("a2"))
+
+
+def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, have: DataFrame | None, k: int) -> DataFrame:
+    """a and grams of all sets in pairs (and those in have); only documents that are not in have are read for it."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("a"), "a", "left_anti")
+    wanted = materialise(wanted.join(classes, "a").select(F.col("least").alias("doc_id"), "a"), "ngram-wanted")
+    found = whole_sets(docs.join(checked_broadcast(wanted.select("doc_id")), "doc_id", "left_semi"), k)
+    found = found.join(wanted.select("a"), "a", "left_semi").groupBy("a").agg(F.first("grams").alias("grams"))
+    found = materialise(found, "ngram-grams")
+    return found if have is None else have.unionByName(found)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar."""
     x, y = sets.select(F.col("a").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("a").alias("v"), F.col("grams").alias("gv"))
@@ -152,14 +186,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
 
 
-def _pivots(shared: DataFrame, step: int) -> DataFrame:
-    """One row of each token: the shortest set, then the longest, then one at random."""
-    order = (F.struct("n", "a"), F.struct(-F.col("n"), "a"))[step] if step < 2 else F.struct(F.xxhash64(F.lit(step), "a"), "a")
-    row = F.struct("a", "n", "pos", "root", "parts")
-    return shared.groupBy("token").agg(F.min_by(row, order).alias("p")).select("token", "p.*")
+def _pivots(shared: DataFrame) -> DataFrame:
+    """One row of each token: that of the most central set.
+
+    A set of which many prefix n-grams are met by others has few of its own, so it is similar to more of its group than others are.
+    """
+    met = shared.withColumn("met", F.count("*").over(Window.partitionBy("a")))  # as many rows as the set's prefix has
+    best = F.min_by(F.struct("a", "n", "pos"), F.struct(-F.col("met") / F.col("n"), "a"))
+    return met.groupBy("token").agg(best.alias("p")).select("token", "p.*")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 22, most_group: int = 4000, pivot_rounds: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 23, most_group: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; integer identifiers).
 
     Words are what white space separates, A-Z lowered; k words make an n-gram, fewer than k make one. Documents link when
@@ -170,7 +207,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = materialise(document_sets(docs, k), "ngram-sets")
-    classes = materialise(sets.where("n > 0").groupBy("a", "n").agg(F.min("doc_id").alias("least"), F.first("parts").alias("parts")), "ngram-classes")
+    classes = materialise(sets.where("n > 0").groupBy("a", "n").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in PARITIES)), "ngram-classes")
     levels = count_sketch(docs, k, sketch_bits)
 
     # A token's level bounds its documents from above, so unsalted groups have most_group rows at most.
@@ -179,33 +216,30 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     rows = rows.withColumn("salt", F.when(hot, F.pmod("a", F.lit(1 << 16)).cast("int")).otherwise(0))
     group = Window.partitionBy("token", "salt")
     met = rows.withColumns({"lo": F.min("a").over(group), "hi": F.max("a").over(group)}).where((F.col("lo") != F.col("hi")) | (F.col("salt") != 0))
-    shared = met.groupBy("token", "a", "n").agg(F.min("pos").alias("pos")).join(classes.select("a", "n", "parts"), ["a", "n"])
-    shared = materialise(shared.select("token", "a", "n", "pos", "parts"), "ngram-shared")
-
-    wanted = materialise(shared.select("a").distinct().join(classes, "a").select(F.col("least").alias("doc_id")), "ngram-wanted")
-    grams = whole_sets(docs.join(checked_broadcast(wanted), "doc_id", "left_semi"), k)
-    grams = materialise(grams.join(shared.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.first("grams").alias("grams")), "ngram-grams")
-
-    roots = shared.select("a").distinct().withColumn("root", F.col("a"))
-    checked = None
-    for step in range(pivot_rounds + 1):
-        rooted = shared.join(roots, "a")
-        apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        rooted = materialise(rooted.join(apart, "token", "left_semi"), "ngram-apart")
-        if rooted.isEmpty():
-            break
-        pairs = _candidates(rooted, _pivots(rooted, step) if step < pivot_rounds else rooted, percent)
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "ngram-pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = _verified(pairs, grams, percent)
-        if step:  # in terms of what is already connected
-            links = links.join(roots.select(F.col("a").alias("u"), F.col("root").alias("ru")), "u").join(roots.select(F.col("a").alias("v"), F.col("root").alias("rv")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        merged = connected_components(links)
-        roots = materialise(roots.join(merged, roots.root == merged.node, "left").select("a", F.coalesce(merged.root, roots.root).alias("root")), "ngram-roots")
+    shared = materialise(met.groupBy("token", "a", "n").agg(F.min("pos").alias("pos")), "ngram-shared")
+    traits = classes.select("a", *PARITIES)
+
+    # first every set with the one pivot that most of its n-grams name
+    pairs = _named(_most_named(_candidates(shared, _pivots(shared), percent, F.lit(True)).select("a", "a2")))
+    sizes = classes.select("a", "n", *PARITIES)
+    both = pairs.join(sizes.withColumnRenamed("a", "u"), "u").join(sizes.select(F.col("a").alias("v"), *(F.col(c).alias(f"{c}2") for c in ("n", *PARITIES))), "v")
+    checked = materialise(both.where(_near(percent)).select("u", "v"), "ngram-pairs")
+    grams = _with_sets(docs, classes, checked, None, k)
+    roots = connected_components(_verified(checked, grams, percent)).select(F.col("node").alias("a"), "root")
+
+    # then all pairs that these links leave apart
+    rooted = shared.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    rooted = rooted.join(apart, "token", "left_semi").join(traits, "a")
+    pairs = _named(_candidates(rooted, rooted, percent, (F.col("root") != F.col("root2")) & _near(percent)).select("a", "a2"))
+    pairs = materialise(pairs.join(checked, ["u", "v"], "left_anti"), "ngram-pairs")
+    links = _verified(pairs, _with_sets(docs, classes, pairs, grams, k), percent)
+    for c in ("u", "v"):  # in terms of what is already connected
+        links = links.join(roots.select(F.col("a").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    merged = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
 
     named = classes.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    named = named.join(merged, "root", "left").withColumn("root", F.coalesce("above", "root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(named.join(least, "root").select("a", "n", "component_id"), "ngram-named")
     out = sets.join(named, ["a", "n"], "left")

@@ -10,19 +10,23 @@ CHUNK = 1 << 20
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
-    """df with out: the sum of value over earlier rows (by the integer column order) of the same keys, 0 for the first.
+    """df with out: the sum of value over earlier rows (by the integer column order) of the same keys, 0 for the first."""
+    return running_totals(df, keys, order, {out: value}, chunk)
+
+
+def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """df with a running total for each name: column of values, all in one pass.
 
     A key is cut into ranges of the order column. Ranges are summed first (aggregated before the shuffle), their prefix sums are a few
     rows a key, and rows are only sorted inside their range: a key with a third of all rows spreads over many tasks.
     """
-    part = F.expr(f"`{order}` div {chunk}")
-    rows = df.withColumn("_part", part)
-    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    rows = df.withColumn("_part", F.expr(f"`{order}` div {chunk}"))
+    sums = rows.groupBy(*keys, "_part").agg(*(F.sum(v).alias(f"_sum_{o}") for o, v in values.items()))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    starts = sums.select(*keys, "_part", *(F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_start_{o}") for o in values))
     inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(starts, [*keys, "_part"]).withColumn(out, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
-    return rows.drop("_part", "_start")
+    totals = {o: (F.col(f"_start_{o}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).cast("long") for o, v in values.items()}
+    return rows.join(starts, [*keys, "_part"]).withColumns(totals).drop("_part", *(f"_start_{o}" for o in values))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

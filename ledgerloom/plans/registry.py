@@ -18,14 +18,14 @@ TABLES = {
          CAST(coalesce(sum(4 + strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS msg_offset,
          CAST(sum(4 + strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id
-              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS next_offset
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS next_offset,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place
   FROM events""",
     "streams": """
   SELECT sid, count(*) AS n, max(next_offset) AS tail,
          max(CASE WHEN place = cnt // 4 THEN msg_offset END) AS trim,
          CASE WHEN sid % 5 > 0 THEN sid % 5 * 86400 END AS ttl_s, max(ts_ms) AS last_access_ms
-  FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY seq) - 1 AS place,
-               count(*) OVER (PARTITION BY sid) AS cnt FROM messages) GROUP BY sid""",
+  FROM (SELECT *, count(*) OVER (PARTITION BY sid) AS cnt FROM messages) GROUP BY sid""",
     "forks": """
   SELECT c.sid, c.sid // 4 AS source, p.tail // 2 AS fork_offset
   FROM streams c JOIN streams p ON p.sid = c.sid // 4 WHERE c.sid > 0""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.sequences import running_total
+from ledgerloom.operators.sequences import running_total, running_totals
 
 DAY_MS = 86_400_000
 
@@ -23,9 +23,8 @@ def millis(column: str):
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, seq, body, ts_ms, path, msg_offset, next_offset: events as messages of one stream for each user."""
-    events = read(spark, sf_dir, "events")
-    rows = events.select(
+    """sid, seq, body, ts_ms, path, place, msg_offset, next_offset: events as messages of one stream for each user, numbered from 0."""
+    rows = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("sid"),
         F.col("event_id").alias("seq"),
         F.col("props").alias("body"),
@@ -33,16 +32,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         millis("ts").alias("ts_ms"),
         F.concat(F.lit("/events/"), F.col("user_id"), F.lit("/.updates")).alias("path"),
         (4 + F.octet_length("props")).cast("long").alias("size"),
+        F.lit(1).cast("long").alias("one"),
     )
-    return running_total(rows, ["sid"], "seq", "size", "msg_offset").withColumn("next_offset", F.col("msg_offset") + F.col("size"))
+    rows = running_totals(rows, ["sid"], "seq", {"msg_offset": "size", "place": "one"}).drop("one")
+    return rows.withColumn("next_offset", F.col("msg_offset") + F.col("size"))
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each stream: n, tail, trim (the offset of message n div 4), ttl_s, last_access_ms."""
     rows = messages(spark, sf_dir)
-    numbered = running_total(rows.withColumn("one", F.lit(1).cast("long")), ["sid"], "seq", "one", "place")
     totals = rows.groupBy("sid").agg(F.count("*").alias("n"), F.sum("size").alias("tail"), F.max("ts_ms").alias("last_access_ms"))
-    trims = numbered.join(totals.select("sid", F.expr("n div 4").alias("at")), "sid").where("place = at").select("sid", F.col("msg_offset").alias("trim"))
+    trims = rows.join(totals.select("sid", F.expr("n div 4").alias("at")), "sid").where("place = at").select("sid", F.col("msg_offset").alias("trim"))
     return totals.join(trims, "sid").withColumn("ttl_s", F.when(F.col("sid") % 5 > 0, F.col("sid") % 5 * 86400))
 
 
