@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 #: The id that ends every document.
 END = 0
@@ -36,7 +36,7 @@ def document_pieces(docs: DataFrame, size: int, vocabulary: str | None) -> DataF
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, unit = Encoder(vocabulary), TaskContext.get().partitionId() << 40
+        encoder, unit = worker_encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]]), strict=True):

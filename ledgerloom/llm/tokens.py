@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -44,7 +45,7 @@ class Encoder:
     a 64-bit hash together with their length; the store of known words is emptied at most_words, so memory is bounded.
     """
 
-    def __init__(self, path: str | None = None, most_words: int = 400_000):
+    def __init__(self, path: str | None = None, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,8 +58,11 @@ class Encoder:
         self.known = np.zeros(0, dtype=np.uint64)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, dtype=np.uint16) for ids in self._lists(texts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
@@ -114,7 +118,7 @@ class Encoder:
                 new[:] = True
             fresh = where[new]
             words = [whole[a : a + n] for a, n in zip(at[fresh].tolist(), size[fresh].tolist(), strict=True)]
-            self._learn(distinct[new], self._library(words))
+            self._learn(distinct[new], self._lists(words))
         place = np.searchsorted(self.known, distinct)
         word = place[inverse]
         count = self.count[word]
@@ -126,14 +130,20 @@ class Encoder:
         cuts[of_text == 0] = 0
         return np.split(ids, cuts[1:])
 
-    def _learn(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+    def _learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         start = len(self.pool) + np.cumsum(count) - count
         known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
+        order = np.argsort(known, kind="stable")  # two sorted runs, which this merges
         self.known = known[order]
         self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint16, int(count.sum()))])
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str | None) -> Encoder:
+    """The encoder of this Python worker, whose known words stay from task to task; ids don't depend on them."""
+    return Encoder(path)
 
 
 def _hashes(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix, shared_dir, small_batches
 from .packing import END
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +51,7 @@ def token_sequences(docs: DataFrame, length: int, vocabulary: str | None) -> Dat
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task, before = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, task, before = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]]), strict=True):
