@@ -4,7 +4,7 @@ Documents are tokenised where they lie and leave only lengths and checksums. Pie
 block is a packing problem of its own, evolved on several islands. A crossover injects whole well-filled bins of one parent into
 the other, drops the bins there that hold the same pieces, and best-fits what that displaced. Between epochs each island's elite
 migrates to the next island of its block. Then the bins that stayed underfilled in any block are dealt anew into fewer blocks,
-until one block is left.
+until one block is left, or until dealing them anew helps no more; what is underfilled then stays as it is.
 """
 
 import math
@@ -200,14 +200,16 @@ def pack_documents(
     A document is its ids and the end id 0; null text is empty, so its one piece is the end id. Documents over size ids are cut
     into pieces of size, the first of which may be shorter. Every piece lies whole in one sequence of at most size ids, pieces of
     a sequence follow each other without gaps. Rows are told apart by place of reading, so repeated rows and null identifiers are
-    packed like others. Equal packings are broken by block and island number. An empty table gives an empty result; other columns
+    packed like others. Underfilled bins are dealt anew until one block is left, or until a round over no fewer blocks lowers their
+    units by less than a tenth; then all bins stay. Equal packings are broken by block and island number. An empty table gives an empty result; other columns
     are dropped.
     """
     pieces = materialise(document_pieces(docs, size, vocabulary), "pack-pieces")
     whole = pieces.where(F.col("length") == size).select("unit", F.col("unit").alias("bin_unit"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < size).select("unit", "length")
     done = whole
-    blocks, step = max(1, math.ceil(rest.count() / block_units)), 0
+    units = rest.count()
+    blocks, step = max(1, math.ceil(units / block_units)), 0
     while True:
         dealt = rest.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + step), "unit"), F.lit(blocks)))
         placed = materialise(pack_blocks(dealt, size, islands, epochs, generations, seed + step), "pack-bins")
@@ -221,9 +223,13 @@ def pack_documents(
         left = rest.count()
         if not left:
             break
-        # fewer blocks each time, but never more units in a block than the first had
-        blocks, step = max(1, min(blocks // 2, math.ceil(left / block_units))), step + 1
-        if left > block_units * blocks * 2:
-            blocks = math.ceil(left / block_units)
+        # fewer blocks each time, but not many more units in a block than the first had
+        fewer = max(1, min(blocks // 2, math.ceil(left / block_units)))
+        if left > block_units * fewer * 2:
+            fewer = math.ceil(left / block_units)
+        if fewer >= blocks and 10 * left > 9 * units:  # neither blocks nor units become fewer: all bins stay
+            done = done.unionByName(placed.where(~good).select("unit", "bin_unit", "offset"))
+            break
+        blocks, units, step = fewer, left, step + 1
     joined = pieces.join(done, "unit")
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin_unit").alias("sequence_id"), "offset")

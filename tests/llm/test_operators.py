@@ -278,6 +278,21 @@ def test_packing_is_close_to_the_least(spark, sf_dir):
     assert used <= -(-sum(r.length for r in rows) // 2048) + 2
 
 
+def test_packing_ends_when_no_bin_can_be_filled(spark, monkeypatch):
+    text = prose(20)
+    n, written = len(Encoder().encode([text])[0]) + 1, []
+
+    def counted(df, label, write=packing.materialise):
+        written.append(label)
+        assert len(written) < 30
+        return write(df, label)
+
+    monkeypatch.setattr(packing, "materialise", counted)
+    docs = spark.createDataFrame([(d, text) for d in range(40)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, size=n * 3 // 2, block_units=4).collect()
+    assert len(rows) == 40 and check_packing(rows, [(d, text) for d in range(40)], n * 3 // 2) == 40
+
+
 def test_crossover_keeps_every_item():
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(200)]
