@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 UNDETERMINED = "und"
+#: Bytes that are compressed at a time. The window covers the dictionary and one piece, so a lead means the same at any length.
+PIECE_BYTES = 16 << 10
+#: Places of a long text that a sample is taken from.
+SAMPLE_PLACES = 4
 
 
 def language_dictionaries(train: DataFrame, sample_docs: int = 100, sample_chars: int = 2000, dict_bytes: int = 48 << 10, most_languages: int = 256) -> dict[str, bytes]:
     """Raw-content dictionaries of at most dict_bytes, one for each non-null lang of train, most frequent language first.
 
-    Learned from a bounded sample: the sample_docs documents of each language whose identifiers hash lowest, sample_chars of each.
+    Learned from a bounded sample: the sample_docs documents of each language whose identifiers hash lowest, sample_chars of each,
+    taken from SAMPLE_PLACES evenly spaced places of the whole text. They fill the dictionary in equal shares.
     Compression gives every language dict_bytes at most, so what the driver holds does not grow with the corpus.
     """
     train = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
@@ -29,12 +34,34 @@ def language_dictionaries(train: DataFrame, sample_docs: int = 100, sample_chars
     order = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(spread))
     limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, 2 * sample_docs / n) * spread))))
     picked = train.where(order < F.coalesce(limits[F.col("lang")], F.lit(0)))
-    picked = picked.select("lang", F.substring("text", 1, sample_chars).alias("text"), order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(4 * sample_docs * len(counts))
+    picked = picked.select("lang", _spread(sample_chars).alias("text"), order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(4 * sample_docs * len(counts))
     parts: dict[str, list[str]] = {}
     for row in picked.collect():
         if len(got := parts.setdefault(row.lang, [])) < sample_docs:
             got.append(letters(row.text))
-    return {lang: "".join(parts[lang]).encode("utf-8", "replace")[-dict_bytes:] for lang in counts if "".join(parts.get(lang, [])).strip()}
+    filled = {lang: equal_shares([x.encode("utf-8", "replace") for x in own], dict_bytes) for lang, own in parts.items()}
+    return {lang: filled[lang] for lang in counts if filled.get(lang, b"").strip()}
+
+
+def _spread(chars: int) -> Column:
+    """Whole texts of up to chars characters; of longer ones as many, from evenly spaced places."""
+    each = chars // SAMPLE_PLACES
+    places = (F.floor((F.length("text") - each) * i / max(1, SAMPLE_PLACES - 1)).cast("int") + 1 for i in range(SAMPLE_PLACES))
+    return F.when(F.length("text") <= chars, F.col("text")).otherwise(F.concat_ws(" ", *(F.substring("text", p, F.lit(each)) for p in places)))
+
+
+def equal_shares(texts: list[bytes], size: int) -> bytes:
+    """Up to size bytes of texts, as much of each; what short ones leave goes to the longer."""
+    share, left = {}, size
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= share[i]
+    # of each place in a text the same part
+    cut = []
+    for i, text in enumerate(texts):
+        step, part = -(-len(text) // SAMPLE_PLACES), -(-share[i] // SAMPLE_PLACES)
+        cut.append(text if share[i] == len(text) else b"".join(text[at : at + part] for at in range(0, len(text), step))[: share[i]])
+    return b"".join(cut)
 
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -46,10 +73,11 @@ def letters(text: str) -> str:
 
 
 class Compressors:
-    """One compressor for each language; sizes() gives the bytes that each makes of a text.
+    """One compressor for each language; sizes() gives the bytes that each makes of a text, PIECE_BYTES at a time.
 
-    The end of the dictionary itself is put before each text. It costs the same few bytes in every language, and keeps zstandard
-    from storing short texts as they are, which would make all sizes equal.
+    Every piece begins with the dictionary alone: a window that slides over a long text soon leaves the dictionary behind. The end of
+    the dictionary itself is put before each piece. It costs the same few bytes in every language, and keeps zstandard from storing
+    short texts as they are, which would make all sizes equal.
     """
 
     def __init__(self, dictionaries: dict[str, bytes], carrier_bytes: int = 256):
@@ -66,7 +94,8 @@ class Compressors:
 
     def sizes(self, text: str) -> list[int]:
         raw = letters(text).encode("utf-8", "replace")
-        return [max(0, len(c.compress(carrier + raw)) - alone) for c, carrier, alone in self.each]
+        pieces = [raw[at : at + PIECE_BYTES] for at in range(0, len(raw), PIECE_BYTES)]
+        return [sum(max(0, len(c.compress(carrier + x)) - alone) for x in pieces) for c, carrier, alone in self.each]
 
 
 def decide(sizes: list[int], languages: list[str], margin: float) -> tuple[str, float, bool]:
@@ -78,7 +107,7 @@ def decide(sizes: list[int], languages: list[str], margin: float) -> tuple[str,
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.002) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row of docs (doc_id, text); whole texts are compressed.
+    """doc_id, lang_pred, score, rejected for every row of docs (doc_id, text); whole texts are compressed, piece by piece.
 
     Null texts and those without a letter are `und`, score 0, rejected; so is everything if no language was learned. A text whose
     two smallest sizes differ by less than margin of the larger keeps its best guess in lang_pred and is rejected. Repeated rows
