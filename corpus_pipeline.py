@@ -6,7 +6,7 @@ that is written as Parquet and read again. All but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise
@@ -17,11 +17,27 @@ from ledgerloom.llm.ngram_join import similar_documents
 from ledgerloom.llm.packing import pack_documents
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """A key (as doc_id) and text of each row. Operators carry it, so that each row is judged by itself, whatever its doc_id.
+
+    Only rows of equal doc_id and text share a key, and those are judged alike.
+    """
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose key is not in gone (key)."""
+    return docs.withColumn("_key", _key()).join(gone.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language was told; those without letters or with too narrow a margin go."""
-    judged = identify_language(docs, language_dictionaries(docs.where(~held_out())))
-    gone = judged.where("rejected").select("doc_id")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    judged = identify_language(keyed(docs), language_dictionaries(docs.where(~held_out())))
+    return without(docs, judged.where("rejected").select(F.col("doc_id").alias("key")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +47,21 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group that links of similarity 0.8 or more over five-word shingles connect."""
-    gone = similar_documents(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    judged = similar_documents(keyed(docs), k=5, percent=80)
+    linked = materialise(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("key"), "component_id"), "similar-linked")
+    members = linked.unionByName(linked.select(F.col("component_id").alias("key"), "component_id")).distinct()
+    # the first: of the least doc_id, null after all others
+    members = docs.select(_key(), "doc_id").join(members, "key").withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = members.join(first, "component_id").where(F.col("key") != F.col("first.key")).select("key")
+    return without(docs, gone)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a window of benchmark words."""
     phrases = benchmark_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = find_contamination(docs, phrases).where("n_hit > 0").select("doc_id")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    judged = find_contamination(keyed(docs), phrases)
+    return without(docs, judged.where("n_hit > 0").select(F.col("doc_id").alias("key")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
