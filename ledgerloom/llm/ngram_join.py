@@ -21,6 +21,8 @@ from .common import Words, checked_broadcast, materialise, mix, rolled, shards,
 from .components import connected_components
 
 SKETCH_BLOCK = 4096
+#: Parts that the rows of a hot token are dealt into.
+SALTS = 1 << 16
 #: Parts of the hash space whose parities the suffix filter compares, and the columns that hold them.
 PARTS = 512
 PARITIES = [f"s{i}" for i in range(PARTS // 64)]
@@ -213,7 +215,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     # A token's level bounds its documents from above, so unsalted groups have most_group rows at most.
     rows = prefix_grams(docs, k, percent, levels)
     hot = F.shiftrightunsigned("token", 55) > math.floor(8 * math.log2(most_group))
-    rows = rows.withColumn("salt", F.when(hot, F.pmod("a", F.lit(1 << 16)).cast("int")).otherwise(0))
+    rows = rows.withColumn("salt", F.when(hot, F.pmod("a", F.lit(SALTS)).cast("int") + 1).otherwise(0))  # 0: not hot
     group = Window.partitionBy("token", "salt")
     met = rows.withColumns({"lo": F.min("a").over(group), "hi": F.max("a").over(group)}).where((F.col("lo") != F.col("hi")) | (F.col("salt") != 0))
     shared = materialise(met.groupBy("token", "a", "n").agg(F.min("pos").alias("pos")), "ngram-shared")
