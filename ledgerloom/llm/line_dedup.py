@@ -1,13 +1,11 @@
-"""Line de-duplication by pairwise alignment.
+"""Line de-duplication by pairwise alignment of blocks.
 
-Documents that share a line overlap. Each line names its earliest holder only, so a line in very many documents adds as many pairs
-as it has holders; lines of few holders come first in a pair's evidence. Two overlapping documents are aligned as patience diff does:
-lines are matched where they are unique (a line that a text repeats counts as its first, second, ... occurrence), and the longest
-increasing run of matches is the alignment. Blocks of aligned lines that follow each other in both documents are deleted from the
-later one.
+Documents that share a block overlap: a run of neighbouring lines with enough text that both hold. Every such block is made up of its
+shortest runs with enough text, from each line on and up to each line, so two documents' aligned blocks are the shortest runs that both
+hold, wherever in the two these lie. What a later document loses are its runs that any earlier document holds; the earliest holder of
+a run is one of those, so each run is matched with that one only, which adds as many pairs as it has holders and loses none.
 """
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,90 +15,61 @@ from pyspark.sql import functions as F
 
 from .common import frames, small_batches
 
-Match = tuple[int, int, int, int, int]
 
+def shortest_runs(chars: list[int], least_block_chars: int) -> list[tuple[int, int]]:
+    """First and last place of the shortest runs of at least least_block_chars characters that begin, and that end, at each place.
 
-def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """token, doc_id, unit, line, place, chars for every line of docs (doc_id, unit, text) with at least least_chars characters.
-
-    token: hash of the stripped line and which occurrence in its text it is. place counts such lines, line all lines.
+    Together they cover a line exactly if it lies in a run of that many characters, in any part of the text as in the whole.
+    """
+    runs, first, last, held, size = set(), 0, -1, 0, len(chars)
+    for first in range(size):  # that begin
+        while last < size - 1 and (held < least_block_chars or last < first):
+            last += 1
+            held += chars[last]
+        if held < least_block_chars:
+            break
+        runs.add((first, last))
+        held -= chars[first]
+    first, held = 0, 0
+    for last in range(size):  # that end
+        held += chars[last]
+        while first < last and held - chars[first] >= least_block_chars:
+            held -= chars[first]
+            first += 1
+        if held >= least_block_chars:
+            runs.add((first, last))
+    return sorted(runs)
+
+
+def run_rows(docs: DataFrame, least_chars: int, least_block_chars: int) -> DataFrame:
+    """token, doc_id, unit, first, last for every shortest run of docs (doc_id, unit, text).
+
+    Runs are of stripped lines of at least least_chars characters; shorter ones between them belong to the run, but are no part of its
+    token, the run's hash. first and last number all lines.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in frames(batches):
             rows = []
             for doc_id, unit, text in batch[["doc_id", "unit", "text"]].itertuples(index=False):
-                seen: dict[bytes, int] = {}
-                place = 0
-                for i, line in enumerate(text.split("\n")):
-                    own = line.strip()
-                    if len(own) < least_chars:
-                        continue
-                    raw = own.encode("utf-8", "surrogatepass")
-                    n = seen[raw] = seen.get(raw, 0) + 1
-                    rows.append((xxhash.xxh3_64_intdigest(raw, seed=n) - (1 << 63), doc_id, unit, i, place, len(own)))
-                    place += 1
-            yield pd.DataFrame(rows, columns=["token", "doc_id", "unit", "line", "place", "chars"])
-
-    return docs.mapInPandas(emit, "token long, doc_id long, unit long, line int, place int, chars int")
-
-
-def longest_increasing(values: list[int]) -> list[int]:
-    """Indexes of a longest strictly increasing subsequence (patience sorting)."""
-    piles: list[int] = []
-    tops: list[int] = []
-    below = [-1] * len(values)
-    for i, v in enumerate(values):
-        p = bisect_left(piles, v)
-        below[i] = tops[p - 1] if p else -1
-        piles[p : p + 1] = [v]
-        tops[p : p + 1] = [i]
-    out, at = [], tops[-1] if tops else -1
-    while at >= 0:
-        out.append(at)
-        at = below[at]
-    return out[::-1]
-
-
-def aligned_blocks(matches: list[Match], least_block_chars: int) -> list[tuple[int, int]]:
-    """First and last line, in the later document, of aligned blocks with enough text.
-
-    matches: (place, line, chars, earlier place, earlier line) of each common line. Lines too short to be matched (blank ones) between
-    two lines of a block belong to it.
-    """
-    matches = sorted(matches)
-    blocks: list[list[int]] = []
-    last = (-2, -2)
-    for i in longest_increasing([m[3] for m in matches]):
-        place, line, chars, other, _ = matches[i]
-        if (place, other) == (last[0] + 1, last[1] + 1):
-            blocks[-1][1] = line
-            blocks[-1][2] += chars
-        else:
-            blocks.append([line, line, chars])
-        last = (place, other)
-    return [(a, b) for a, b, chars in blocks if chars >= least_block_chars]
+                own = [(i, x) for i, line in enumerate(text.split("\n")) if len(x := line.strip()) >= least_chars]
+                raw = [x.encode("utf-8", "surrogatepass") for _, x in own]
+                runs = shortest_runs([len(x) for _, x in own], least_block_chars)
+                # a run of one line says nothing of short lines between it and the next, which belong to a block of both
+                beside = {(i, i + 1) for a, b in runs if a == b for i in (a - 1, a) if 0 <= i < len(own) - 1}
+                for a, b in sorted({*runs, *beside}):
+                    rows.append((xxhash.xxh3_64_intdigest(b"\n".join(raw[a : b + 1])) - (1 << 63), doc_id, unit, own[a][0], own[b][0]))
+            yield pd.DataFrame(rows, columns=["token", "doc_id", "unit", "first", "last"])
+
+    return docs.mapInPandas(emit, "token long, doc_id long, unit long, first int, last int")
 
 
 def repeated_blocks(docs: DataFrame, least_chars: int, least_block_chars: int) -> DataFrame:
     """unit and the blocks (first, last) to delete from it, of docs (doc_id, unit, text)."""
-    lines = line_rows(docs, least_chars)
-    holder = F.struct("doc_id", "unit", "place", "line")
-    owners = lines.groupBy("token").agg(F.min(holder).alias("owner"), F.count("*").alias("holders")).where("holders > 1")
-    owners = owners.select("token", "holders", F.col("owner.doc_id").alias("owner_id"), F.col("owner.unit").alias("owner_unit"), F.col("owner.place").alias("owner_place"), F.col("owner.line").alias("owner_line"))
-    common = lines.join(owners, "token").where("owner_id < doc_id")
-    pairs = common.groupBy("unit", "owner_unit").agg(F.min("holders").alias("rarest"), F.collect_list(F.struct("place", "line", "chars", "owner_place", "owner_line")).alias("matches"))
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for unit, matches in batch[["unit", "matches"]].itertuples(index=False):
-                found = aligned_blocks([(m["place"], m["line"], m["chars"], m["owner_place"], m["owner_line"]) for m in matches], least_block_chars)
-                rows += [(unit, a, b) for a, b in found]
-            yield pd.DataFrame(rows, columns=["unit", "first", "last"])
-
-    blocks = pairs.mapInPandas(align, "unit long, first int, last int")
-    return blocks.groupBy("unit").agg(F.collect_set(F.struct("first", "last")).alias("blocks"))
+    runs = run_rows(docs, least_chars, least_block_chars)
+    owners = runs.groupBy("token").agg(F.min("doc_id").alias("owner_id"), F.max("doc_id").alias("other_id")).where("owner_id < other_id")
+    common = runs.join(owners, "token").where("owner_id < doc_id")
+    return common.groupBy("unit").agg(F.collect_set(F.struct("first", "last")).alias("blocks"))
 
 
 def delete_repeated_lines(docs: DataFrame, least_chars: int = 8, least_block_chars: int = 40) -> DataFrame:
@@ -129,26 +98,18 @@ def delete_repeated_lines(docs: DataFrame, least_chars: int = 8, least_block_cha
 
 
 def brute_force(docs: list[tuple[int, str]], least_chars: int = 8, least_block_chars: int = 40) -> dict[int, set[int]]:
-    """Deleted lines of each document by the definition above, for tests (distinct identifiers)."""
-    tokens: dict[int, list[tuple[str, int, int]]] = {}
-    for doc_id, text in docs:
-        seen: dict[str, int] = {}
-        for i, line in enumerate(text.split("\n")):
-            if len(own := line.strip()) >= least_chars:
-                seen[own] = seen.get(own, 0) + 1
-                tokens.setdefault(doc_id, []).append((own, seen[own], i))
-    first: dict[tuple[str, int], tuple[int, int, int]] = {}
-    for doc_id in sorted(tokens):
-        for place, (own, n, i) in enumerate(tokens[doc_id]):
-            first.setdefault((own, n), (doc_id, place, i))
+    """Deleted lines of each document by definition, for tests: each is compared with all earlier ones, diagonal by diagonal."""
+    lines = {d: [(i, own) for i, line in enumerate(text.split("\n")) if len(own := line.strip()) >= least_chars] for d, text in docs}
     out: dict[int, set[int]] = {}
-    for doc_id, own_tokens in tokens.items():
-        by_owner: dict[int, list[Match]] = {}
-        for place, (own, n, i) in enumerate(own_tokens):
-            owner, other, line = first[own, n]
-            if owner < doc_id:
-                by_owner.setdefault(owner, []).append((place, i, len(own), other, line))
-        for matches in by_owner.values():
-            for a, b in aligned_blocks(matches, least_block_chars):
-                out.setdefault(doc_id, set()).update(range(a, b + 1))
+    for doc_id, own in lines.items():
+        for other in (x for d, x in lines.items() if d < doc_id):
+            for shift in range(-len(own), len(other)):
+                block: list[tuple[int, str]] = []
+                for k in range(len(own) + 1):
+                    if k < len(own) and 0 <= k + shift < len(other) and own[k][1] == other[k + shift][1]:
+                        block.append(own[k])
+                        continue
+                    if block and sum(len(x) for _, x in block) >= least_block_chars:
+                        out.setdefault(doc_id, set()).update(range(block[0][0], block[-1][0] + 1))
+                    block = []
     return out
