@@ -9,8 +9,6 @@ from ledgerloom.sources.storage import materialise
 
 from .sequences import page_by_bytes
 
-#: Forks of forks are refused beyond this depth.
-DEPTH_LIMIT = 8
 #: A fork's own range has no end.
 OPEN_END = (1 << 63) - 1
 
@@ -41,19 +39,23 @@ def lineage(streams: DataFrame, forks: DataFrame) -> DataFrame:
     """reader, sid, level, lo, hi: whose messages a stream reads, and the offsets where those may start.
 
     A fork inherits what its source's readers see before the fork offset; whole messages, even if the offset lies inside one. Each step
-    up is one join, and there are at most DEPTH_LIMIT.
+    up is one join, as many as the deepest fork needs. Forks that lead back to themselves are refused.
     """
     start = streams.join(forks, "sid", "left").select("sid", "source", F.coalesce("fork_offset", F.lit(0)).cast("long").alias("fork_offset"))
     start = materialise(start, "lineage-streams")
     step = start.select(F.col("sid").alias("reader"), "sid", F.lit(0).alias("level"), F.col("fork_offset").alias("lo"), F.lit(OPEN_END).alias("hi"), "source")
     parents = start.select(F.col("sid").alias("source"), F.col("source").alias("next"), F.col("fork_offset").alias("parent_lo"))
     out = step.select("reader", "sid", "level", "lo", "hi")
-    for _ in range(DEPTH_LIMIT):
+    most, depth = start.count(), 0
+    while True:
         step = step.where("source IS NOT NULL").join(parents, "source")
         step = step.select("reader", F.col("source").alias("sid"), (F.col("level") + 1).alias("level"), F.col("parent_lo").alias("lo"), F.least("hi", "lo").alias("hi"), F.col("next").alias("source"))
         step = materialise(step, "lineage-step")
         if step.isEmpty():
             break
+        depth += 1
+        if depth >= most:
+            raise ValueError("forks lead back to themselves")
         out = out.unionByName(step.select("reader", "sid", "level", "lo", "hi"))
     return out
 
