@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be very long, so that batches hold few of them.
-BATCH_ROWS = 512
+from ledgerloom.sources.storage import discard, materialise, shared_dir  # noqa: F401  (for the other modules here)
+
+#: Rows and bytes of one Arrow batch. Texts may be very long, so that batches hold few of them.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Rows up to which a checked, two or three column table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -20,25 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file:///tmp/checkpoints/ledgerloom"
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as a Parquet table in the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that a worker never holds thousands of long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # One value for the whole subpackage, so that it doesn't matter which operator set it last before a lazy plan runs.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,19 +57,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_PRIME = np.uint64(0x100000001B3)
+#: Words over so many bytes are hashed one by one.
+_LONG = 256
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _PRIME, dtype=np.uint64)
-    if n:
-        p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 def byte_table(words: str) -> np.ndarray:
     """Which bytes belong to words: 'ascii_alnum' takes [0-9a-z] and every byte over 0x7F, 'space' all but [\\x20\\t-\\r]."""
     member = np.ones(256, dtype=bool)
@@ -101,7 +83,7 @@ class Words:
 
     def __init__(self, texts: list[str | None], kind: str):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-        buffer = _LOWER[np.frombuffer(b"\x00".join(raw) + b"\x00", dtype=np.uint8)]
+        self.buffer = buffer = _LOWER[np.frombuffer(b"\x00".join(raw) + b"\x00", dtype=np.uint8)]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         stops = np.cumsum(lengths + 1) - 1
         inside = byte_table(kind)[buffer]
@@ -113,25 +95,29 @@ class Words:
         #: The words of text i are first[i] to first[i + 1].
         self.first = np.searchsorted(self.doc, np.arange(len(raw) + 1))
 
+    def word(self, i: int) -> bytes:
+        return self.buffer[self.starts[i] : self.ends[i]].tobytes()
+
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of buffer[start:end]; equal bytes have equal hashes wherever they lie. No span is empty.
 
-    Works on spans of about step bytes together at a time, so that its memory does not grow with the batch.
+    Eight bytes at a time go through a chain of scrambles, so that hashes of words of up to eight bytes and one length are all
+    different, and no structure of longer ones makes hashes equal. Spans over _LONG bytes are hashed by xxhash.
     """
     lengths = ends - starts
-    out = np.empty(len(starts), dtype=np.uint64)
-    total = np.cumsum(lengths)
-    done = 0
-    while done < len(starts):
-        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + step)))
-        own, n = starts[done:upto], lengths[done:upto]
-        ends_of = np.cumsum(n)
-        at = np.arange(int(ends_of[-1]), dtype=np.int64) - np.repeat(ends_of - n, n)
-        values = _BYTE_VALUES[buffer[np.repeat(own, n) + at]] * _powers(int(n.max()))[at]
-        out[done:upto] = np.add.reduceat(values, ends_of - n)
-        done = upto
-    return mix(out + lengths.astype(np.uint64) * _ODD)
+    padded = np.append(buffer, np.zeros(8, np.uint8))
+    lanes = np.ndarray((len(buffer),), "<u8", buffer=padded.data, strides=(1,))
+    out = mix(lengths.astype(np.uint64) * _ODD)
+    open_spans, at = np.flatnonzero(lengths <= _LONG), 0
+    while len(open_spans):
+        lane = lanes[starts[open_spans] + at] & _MASKS[np.minimum(8, lengths[open_spans] - at)]
+        out[open_spans] = mix((out[open_spans] ^ lane) * _ODD + _M1)
+        at += 8
+        open_spans = open_spans[lengths[open_spans] > at]
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -139,10 +125,10 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total = hashes[:n].copy()
+    total = hashes[:n] + np.uint64(k)
     for j in range(1, k):
-        total = total * _PRIME + hashes[j : j + n]
-    return mix(total + np.uint64(k))
+        total = mix(total * _ODD + hashes[j : j + n])
+    return mix(total)
 
 
 def frames(batches: Iterator, bytes_each: int = 4 << 20, text: str = "text") -> Iterator:

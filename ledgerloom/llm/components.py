@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,13 +19,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         # u > v always, so hooks lead to smaller nodes and never make a cycle
         hooks = materialise(open_links.groupBy("u").agg(F.min("v").alias("to")), "cc-hooks")
         while True:
+            before = hooks
             further = hooks.join(hooks.select(F.col("u").alias("to"), F.col("to").alias("next")), "to", "left")
             further = materialise(further.select("u", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "cc-jump")
             hooks = further.select("u", "to")
+            hooks.written_to = further.written_to
+            discard(before)
             if further.where("moved").isEmpty():
                 break
+        held = nodes, open_links, hooks
         nodes = materialise(nodes.join(hooks, nodes.root == hooks.u, "left").select("node", F.coalesce("to", "root").alias("root")), "cc-nodes")
         ends = hooks.select(F.col("u").alias("v"), F.col("to").alias("tv"))
         moved = open_links.join(hooks, "u").join(ends, "v", "left").select(F.col("to").alias("a"), F.coalesce("tv", "v").alias("b"))
         open_links = materialise(moved.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-links")
+        discard(*held)
+    discard(open_links)
     return nodes

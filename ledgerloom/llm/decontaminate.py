@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ class Phrases:
     """Distinct windows as rows of symbols, right-aligned, and the items that have each."""
 
     vocabulary: np.ndarray  # sorted word hashes; word i is symbol i + 2
+    words: list[bytes]  # of each window, a space between them
     symbols: np.ndarray
     lengths: np.ndarray
     owner_first: np.ndarray  # the items of window w are owners[owner_first[w]:owner_first[w + 1]]
@@ -46,18 +46,22 @@ def benchmark_phrases(benchmark: DataFrame, window: int = 10, most_bytes: int =
     item_ids = sorted({r.item_id for r in rows if r.item_id is not None})
     number = {x: i for i, x in enumerate(item_ids)}
     windows: dict[bytes, set[int]] = {}
+    of_window: dict[bytes, np.ndarray] = {}
     for i, r in enumerate(rows):
         own = ids[words.first[i] : words.first[i + 1]]
+        raw = [words.word(j) for j in range(words.first[i], words.first[i + 1])]
         for a in range(max(1, len(own) - window + 1) if len(own) else 0):
-            windows.setdefault(own[a : a + window].astype(np.int64).tobytes(), set()).add(number.get(r.item_id, -1))
+            key = b" ".join(raw[a : a + window])
+            of_window[key] = own[a : a + window]
+            windows.setdefault(key, set()).add(number.get(r.item_id, -1))
     symbols, lengths = np.zeros((len(windows), window), np.int64), np.zeros(len(windows), np.int64)
     owners = []
     for w, (raw, of) in enumerate(windows.items()):
-        own = np.frombuffer(raw, np.int64)
+        own = of_window[raw]
         symbols[w, window - len(own) :], lengths[w] = own, len(own)
         owners.append(sorted(of - {-1}))
     first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-    return Phrases(vocabulary, symbols, lengths, first, np.array([i for o in owners for i in o], np.int64), item_ids)
+    return Phrases(vocabulary, list(windows), symbols, lengths, first, np.array([i for o in owners for i in o], np.int64), item_ids)
 
 
 def shard_sequence(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +103,9 @@ def find_contamination(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 which = np.repeat(np.arange(len(count)), count)
                 rows = np.repeat(low, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                 start = word[index.locate(rows)]
+                # equal hashes are no proof: the words themselves decide
+                same = np.fromiter((b" ".join(map(words.word, range(a, a + phrases.lengths[w]))) == phrases.words[w] for a, w in zip(start.tolist(), which.tolist(), strict=True)), bool, len(start))
+                start, which = start[same], which[same]
                 np.add.at(hit, start, 1)
                 np.add.at(hit, start + phrases.lengths[which], -1)
                 pairs = np.unique(np.stack([words.doc[start], which], axis=1), axis=0)
@@ -128,28 +135,3 @@ def contamination_report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of find_contamination's rows."""
     listed = F.sha2(F.array_join("item_ids", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[str, str]], window: int = 10) -> list[tuple]:
-    """The report by definition, for tests: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    import re
-
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    windows: dict[tuple, set[str]] = {}
-    for item, text in items:
-        w = word.findall((text or "").translate(fold))
-        for a in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[a : a + window]), set()).add(item)
-    sizes = sorted({len(k) for k in windows})
-    out = []
-    for doc_id, text in docs:
-        w = word.findall((text or "").translate(fold))
-        hit, found = set(), set()
-        for n in sizes:
-            for a in range(len(w) - n + 1):
-                if (own := windows.get(tuple(w[a : a + n]))) is not None:
-                    hit |= set(range(a, a + n))
-                    found |= own
-        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out

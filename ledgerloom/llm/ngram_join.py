@@ -1,11 +1,14 @@
 """Similarity join of documents on the Jaccard index of their word n-grams, and the classes that its links form.
 
 Equal n-gram sets are one class from the start. N-grams are ordered rare first, by a sketch of their document counts, and a set's
-first few (its prefix) must meet the prefix of any similar set. Prefix n-grams that two sets have are joined; length, position and
-suffix rule out most pairs before whole sets are compared. The suffix filter bounds the difference of two sets from below: each set
-carries the parities of its counts in 512 parts of the hash space, and two sets differ in at least as many n-grams as parities.
+first few (its prefix) must meet the prefix of any similar set. Prefix n-grams are joined; length and position rule out most pairs.
+The suffix filter bounds the difference of two sets from below by splitting both at a pivot, again and again, and adding up how far the
+sizes of the parts differ. It works twice: on the leaves of a recursion with fixed pivots, for which every set carries the parities of
+its counts in 512 parts of the hash space, before whole sets are fetched; and on the sets themselves, with one set's medians as pivots,
+before they are intersected. Each pair is verified once.
+
 Each n-gram names the most central of its sets as pivot. First every set is compared with the one pivot that most of its n-grams name;
-then, of all pairs that meet, those that links don't connect yet. No pair is compared twice.
+then, of all pairs that meet, those that links don't connect yet. N-grams and words are told apart by 64-bit hashes.
 """
 
 import math
@@ -17,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, checked_broadcast, materialise, mix, rolled, shards, small_batches
+from .common import Words, checked_broadcast, discard, materialise, mix, rolled, shards, small_batches
 from .components import connected_components
 
 SKETCH_BLOCK = 4096
@@ -26,6 +29,8 @@ SALTS = 1 << 16
 #: Parts of the hash space whose parities the suffix filter compares, and the columns that hold them.
 PARTS = 512
 PARITIES = [f"s{i}" for i in range(PARTS // 64)]
+#: Sets that are compared with one copy of a pivot, and rows of a token that are joined with one copy of its others.
+PART_ROWS = 512
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -48,17 +53,16 @@ def parities(grams: np.ndarray) -> list[int]:
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, a (set_key) and parities for every row of docs."""
+    """doc_id, unit, n, a (set_key) and parities for every row of docs (doc_id, unit, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in shards(batches):
             rows = [(len(g), set_key(g), *parities(g)) for g in shingle_sets(list(batch["text"]), k)]
             out = pd.DataFrame(rows, columns=["n", "a", *PARITIES])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield batch[["doc_id", "unit"]].join(out)
 
-    return docs.mapInPandas(describe, f"doc_id {id_type}, n int, a long, {', '.join(f'{c} long' for c in PARITIES)}")
+    return docs.mapInPandas(describe, f"doc_id {id_type}, unit long, n int, a long, {', '.join(f'{c} long' for c in PARITIES)}")
 
 
 def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
@@ -108,17 +112,19 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefix_grams(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """token, a, n, pos for the prefix of every set."""
+    """token, a, n, pos for the prefix of every set, once in each task for equal sets."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** sketch_bits bytes
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # at most a key for each row of this task's part of the input
         for batch in shards(batches):
             tokens, keys, sizes, places = [], [], [], []
             for grams in shingle_sets(list(batch["text"]), k):
-                if n := len(grams):
+                if (n := len(grams)) and (key := set_key(grams)) not in seen:
+                    seen.add(key)
                     p = prefix_length(n, percent)
                     tokens.append(rare_first(grams, shared.value)[:p])
-                    keys.append(np.full(p, set_key(grams)))
+                    keys.append(np.full(p, key))
                     sizes.append(np.full(p, n, np.int32))
                     places.append(np.arange(p, dtype=np.int32))
             if tokens:
@@ -127,29 +133,18 @@ def prefix_grams(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> D
     return docs.mapInPandas(emit, "token long, a long, n int, pos int")
 
 
-def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """a and its n-gram hashes (grams), a row for each document."""
-
-    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in shards(batches):
-            sets = list(shingle_sets(list(batch["text"]), k))
-            yield pd.DataFrame({"a": [set_key(g) for g in sets], "grams": [g.astype(np.int64) for g in sets]})
-
-    return docs.mapInPandas(give, "a long, grams array<bigint>")
-
-
 def _overlap_needed(nx: Column, ny: Column, percent: int) -> Column:
     """The least intersection of similar sets of these sizes."""
     return F.ceil(percent * (nx + ny) / (100 + percent))
 
 
-def _candidates(x: DataFrame, y: DataFrame, percent: int, more: Column) -> DataFrame:
+def _candidates(x: DataFrame, y: DataFrame, percent: int, more: Column, on: list[str] | tuple[str, ...] = ("token",)) -> DataFrame:
     """Pairs, one for each token that they meet in, of rows (token, a, n, pos, ...) that pass the length and position filters and more."""
-    y = y.select("token", *(F.col(c).alias(f"{c}2") for c in y.columns if c != "token"))
+    y = y.select(*on, *(F.col(c).alias(f"{c}2") for c in y.columns if c not in on))
     need = _overlap_needed(F.col("n"), F.col("n2"), percent)
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
     reach = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    return x.join(y, "token").where((F.col("a") != F.col("a2")) & (100 * small >= percent * large) & (reach >= need) & more)
+    return x.join(y, list(on)).where((F.col("a") != F.col("a2")) & (100 * small >= percent * large) & (reach >= need) & more)
 
 
 def _near(percent: int) -> Column:
@@ -158,34 +153,71 @@ def _near(percent: int) -> Column:
     return differ <= F.col("n") + F.col("n2") - 2 * _overlap_needed(F.col("n"), F.col("n2"), percent)
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs u > v."""
-    return pairs.select(F.greatest("a", "a2").alias("u"), F.least("a", "a2").alias("v")).distinct()
-
-
 def _most_named(pairs: DataFrame) -> DataFrame:
     """For each a the a2 that most of its tokens name (of equals the least)."""
     counts = pairs.groupBy("a", "a2").agg(F.count("*").alias("k"))
     return counts.groupBy("a").agg(F.max_by("a2", F.struct("k", -F.col("a2"))).alias("a2"))
 
 
-def _with_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, have: DataFrame | None, k: int) -> DataFrame:
-    """a and grams of all sets in pairs (and those in have); only documents that are not in have are read for it."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-    if have is not None:
-        wanted = wanted.join(have.select("a"), "a", "left_anti")
-    wanted = materialise(wanted.join(classes, "a").select(F.col("least").alias("doc_id"), "a"), "ngram-wanted")
-    found = whole_sets(docs.join(checked_broadcast(wanted.select("doc_id")), "doc_id", "left_semi"), k)
-    found = found.join(wanted.select("a"), "a", "left_semi").groupBy("a").agg(F.first("grams").alias("grams"))
-    found = materialise(found, "ngram-grams")
-    return found if have is None else have.unionByName(found)
+def suffix_difference(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
+    """A lower bound of how many n-grams only one of two sorted sets has; the recursion ends early once it is over most."""
+    gap = abs(len(x) - len(y))
+    if not depth or gap > most or not len(x) or not len(y):
+        return gap
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    met = at < len(x) and x[at] == y[middle]
+    left, right = (x[:at], y[:middle]), (x[at + met :], y[middle + 1 :])
+    far = abs(len(right[0]) - len(right[1])) + (not met)
+    near = suffix_difference(*left, most - far, depth - 1)
+    if near + far > most:
+        return near + far
+    return near + (not met) + suffix_difference(*right, most - near - (not met), depth - 1)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int, depth: int = 3) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets of which none is empty."""
+    total = len(x) + len(y)
+    most = total - 2 * -(-percent * total // (100 + percent))
+    if most < 0 or suffix_difference(x, y, most, depth) > most:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (total - both)
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar.
+
+    v is the pivot of its pairs: sets are sent to it once for each pair, and it to every PART_ROWS of them, so a task holds one pivot
+    and streams through the sets that are compared with it.
+    """
+    fans = materialise(pairs.groupBy("v").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "ngram-fans")
+    members = pairs.join(fans, "v").select(F.col("u").alias("a"), "v", F.pmod(F.xxhash64("u"), "parts").cast("int").alias("part"), F.lit(True).alias("member"))
+    heads = fans.select(F.col("v").alias("a"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
+    wanted = materialise(members.unionByName(heads).join(classes.select("a", "unit"), "a"), "ngram-wanted")
 
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in shards(batches):
+            sets = list(shingle_sets(list(batch["text"]), k))
+            out = batch[["a", "v", "part", "member"]].assign(grams=[g.tobytes() for g in sets])
+            yield out[[set_key(g) == a for g, a in zip(sets, batch["a"], strict=True)]]  # of rows with one unit all but equal ones go
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for a, v, member, grams in batch[["a", "v", "member", "grams"]].itertuples(index=False):
+                if not member:
+                    pivot, own = v, np.frombuffer(grams, np.uint64)
+                elif v == pivot and similar(np.frombuffer(grams, np.uint64), own, percent):
+                    rows.append((a, v))
+            yield pd.DataFrame(rows, columns=["u", "v"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar."""
-    x, y = sets.select(F.col("a").alias("u"), F.col("grams").alias("gu")), sets.select(F.col("a").alias("v"), F.col("grams").alias("gv"))
-    both = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("gu", "gv")).alias("i"), (F.size("gu") + F.size("gv")).alias("s"))
-    return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
+    sets = docs.join(checked_broadcast(wanted), "unit").mapInPandas(fetch, "a long, v long, part int, member boolean, grams binary")
+    found = sets.repartition("v", "part").sortWithinPartitions("v", "part", "member").mapInPandas(compare, "u long, v long")
+    found = materialise(found.distinct(), "ngram-links")
+    discard(fans, wanted)
+    return found
 
 
 def _pivots(shared: DataFrame) -> DataFrame:
@@ -198,6 +230,50 @@ def _pivots(shared: DataFrame) -> DataFrame:
     return met.groupBy("token").agg(best.alias("p")).select("token", "p.*")
 
 
+def _shared_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray, most_group: int) -> DataFrame:
+    """token, a, n, pos of prefix n-grams that a set shares with another of similar length, written as a table."""
+    rows = prefix_grams(docs, k, percent, levels)
+    # A token's level bounds its documents from above, so unsalted groups have most_group sets at most.
+    hot = F.shiftrightunsigned("token", 55) > math.floor(8 * math.log2(most_group))
+    rows = rows.withColumn("salt", F.when(hot, F.pmod("a", F.lit(SALTS)).cast("int") + 1).otherwise(0))  # 0: not hot
+    rows = rows.repartition("token", "salt").groupBy("token", "salt", "a", "n").agg(F.min("pos").alias("pos"))
+    by_length = Window.partitionBy("token", "salt").orderBy("n", "a")
+    near = (100 * F.lag("n").over(by_length) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_length))
+    kept = rows.withColumn("near", near).where(F.col("near") | (F.col("salt") != 0))
+    return materialise(kept.select("token", "a", "n", "pos"), "ngram-shared")
+
+
+def _near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that pass the suffix filter on parities; pairs is a written table."""
+    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct(), "ngram-ends")
+    traits = classes.select("a", "n", *PARITIES).join(checked_broadcast(ends), "a", "left_semi")
+    both = pairs.join(traits.withColumnRenamed("a", "u"), "u")
+    both = both.join(traits.select(F.col("a").alias("v"), *(F.col(c).alias(f"{c}2") for c in ("n", *PARITIES))), "v")
+    return both.where(_near(percent)).select("u", "v")
+
+
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of tokens that several components have: token, a, n, pos, root, minor (not of the token's largest component), parts."""
+    rooted = shared.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    counts = rooted.groupBy("token", "root").agg(F.count("*").alias("sets"))
+    counts = counts.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("sets", "root")).alias("main"), (F.sum("sets") - F.max("sets")).alias("others"))
+    # written first, so that the join that follows can split a token with very many rows
+    split = materialise(counts.where("roots > 1").select("token", "main", F.ceil(F.col("others") / PART_ROWS).cast("int").alias("parts")), "ngram-split")
+    return rooted.join(split, "token").select("token", "a", "n", "pos", "root", (F.col("root") != F.col("main")).alias("minor"), "parts")
+
+
+def _cross_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs u > v of different components that meet in a token and pass the length and position filters.
+
+    Of two components one is not the token's largest, so the largest is never joined with itself; a token with many other sets is dealt
+    out by them, PART_ROWS to a copy of its rows.
+    """
+    minor = apart.where("minor").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).drop("minor", "parts")
+    every = apart.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("minor", "parts")
+    met = _candidates(minor, every, percent, F.col("root") != F.col("root2"), ["token", "part"])
+    return met.select(F.greatest("a", "a2").alias("u"), F.least("a", "a2").alias("v")).distinct()
+
+
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 23, most_group: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; integer identifiers).
 
@@ -207,78 +283,36 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     a null identifier is ignored unless a component has no other. An empty table gives an empty result; other columns are dropped.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("unit"), "text")
     sets = materialise(document_sets(docs, k), "ngram-sets")
-    classes = materialise(sets.where("n > 0").groupBy("a", "n").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in PARITIES)), "ngram-classes")
-    levels = count_sketch(docs, k, sketch_bits)
-
-    # A token's level bounds its documents from above, so unsalted groups have most_group rows at most.
-    rows = prefix_grams(docs, k, percent, levels)
-    hot = F.shiftrightunsigned("token", 55) > math.floor(8 * math.log2(most_group))
-    rows = rows.withColumn("salt", F.when(hot, F.pmod("a", F.lit(SALTS)).cast("int") + 1).otherwise(0))  # 0: not hot
-    group = Window.partitionBy("token", "salt")
-    met = rows.withColumns({"lo": F.min("a").over(group), "hi": F.max("a").over(group)}).where((F.col("lo") != F.col("hi")) | (F.col("salt") != 0))
-    shared = materialise(met.groupBy("token", "a", "n").agg(F.min("pos").alias("pos")), "ngram-shared")
-    traits = classes.select("a", *PARITIES)
+    classes = materialise(sets.where("n > 0").groupBy("a", "n").agg(F.min("doc_id").alias("least"), F.min("unit").alias("unit"), *(F.first(c).alias(c) for c in PARITIES)), "ngram-classes")
+    shared = _shared_tokens(docs, k, percent, count_sketch(docs, k, sketch_bits), most_group)
 
     # first every set with the one pivot that most of its n-grams name
-    pairs = _named(_most_named(_candidates(shared, _pivots(shared), percent, F.lit(True)).select("a", "a2")))
-    sizes = classes.select("a", "n", *PARITIES)
-    both = pairs.join(sizes.withColumnRenamed("a", "u"), "u").join(sizes.select(F.col("a").alias("v"), *(F.col(c).alias(f"{c}2") for c in ("n", *PARITIES))), "v")
-    checked = materialise(both.where(_near(percent)).select("u", "v"), "ngram-pairs")
-    grams = _with_sets(docs, classes, checked, None, k)
-    roots = connected_components(_verified(checked, grams, percent)).select(F.col("node").alias("a"), "root")
+    pivots = materialise(_pivots(shared), "ngram-pivots")
+    named = _most_named(_candidates(shared, pivots, percent, F.lit(True)).select("a", "a2"))
+    # two sets that name each other are one pair
+    pairs = named.groupBy(F.greatest("a", "a2").alias("x"), F.least("a", "a2").alias("y")).agg(F.min("a2").alias("v"))
+    pairs = materialise(pairs.select(F.when(F.col("v") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("u"), "v"), "ngram-named")
+    checked = materialise(_near_pairs(pairs, classes, percent), "ngram-pairs")
+    discard(pivots, pairs)
+    roots = connected_components(_verified(docs, classes, checked, k, percent)).select(F.col("node").alias("a"), "root")
+    roots = checked_broadcast(materialise(roots, "ngram-roots"))
 
     # then all pairs that these links leave apart
-    rooted = shared.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rooted = rooted.join(apart, "token", "left_semi").join(traits, "a")
-    pairs = _named(_candidates(rooted, rooted, percent, (F.col("root") != F.col("root2")) & _near(percent)).select("a", "a2"))
-    pairs = materialise(pairs.join(checked, ["u", "v"], "left_anti"), "ngram-pairs")
-    links = _verified(pairs, _with_sets(docs, classes, pairs, grams, k), percent)
+    apart = materialise(_apart(shared, roots), "ngram-apart")
+    both = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    met = materialise(_cross_pairs(apart, percent).join(checked.select(*both), ["u", "v"], "left_anti"), "ngram-met")
+    pairs = materialise(_near_pairs(met, classes, percent), "ngram-pairs")
+    links = _verified(docs, classes, pairs, k, percent)
     for c in ("u", "v"):  # in terms of what is already connected
         links = links.join(roots.select(F.col("a").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
     merged = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("above"))
 
-    named = classes.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    named = classes.select("a", "n", "least").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
     named = named.join(merged, "root", "left").withColumn("root", F.coalesce("above", "root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(named.join(least, "root").select("a", "n", "component_id"), "ngram-named")
+    discard(classes, shared, checked, apart, met, pairs)
     out = sets.join(named, ["a", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], k: int, percent: int) -> list[tuple[int, int, int]]:
-    """The result by definition, for tests."""
-    import re
-
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for doc_id, text in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
-        sets.append((doc_id, frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()))
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    having: dict[tuple, list[int]] = {}
-    for i, (_, grams) in enumerate(sets):
-        for g in grams:
-            having.setdefault(g, []).append(i)
-    for i, (_, x) in enumerate(sets):
-        common: dict[int, int] = {}
-        for g in x:
-            for j in having[g]:
-                if j > i:
-                    common[j] = common.get(j, 0) + 1
-        for j, both in common.items():
-            if 100 * both >= percent * (len(x) + len(sets[j][1]) - both):
-                parent[find(i)] = find(j)
-    least: dict[int, int] = {}
-    for i, (doc_id, _) in enumerate(sets):
-        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
-    return [(doc_id, len(x), least[find(i)]) for i, (doc_id, x) in enumerate(sets)]

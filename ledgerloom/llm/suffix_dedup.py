@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE_VALUES, checked_broadcast, frames, materialise, mix, small_batches
+from .common import checked_broadcast, frames, materialise, mix, small_batches
 
 #: Bytes that texts are hashed by at a time; longer texts are cut with an overlap.
 SLICE = 1 << 20
 GRAM = 32
 COVER = 32
 _PRIME = 0x100000001B3
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -339,23 +340,3 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk: int = 8192, most_b
 def removal_report(removed: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of remove_repeats' rows."""
     return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(docs: list[tuple[object, str | None]], length: int) -> list[tuple]:
-    """The report by definition, for tests."""
-    import hashlib
-    from collections import Counter
-
-    raw = [(d, _bytes(t)) for d, t in docs]
-    seen = Counter(t[i : i + length] for _, t in raw for i in range(len(t) - length + 1))
-    out = []
-    for d, t in raw:
-        cover = np.zeros(len(t) + 1, np.int64)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                cover[i] += 1
-                cover[i + length] -= 1
-        hit = np.cumsum(cover)[: len(t)] > 0
-        kept = np.frombuffer(t, np.uint8)[~hit].tobytes()
-        out.append((d, len(t), int(hit.sum()), len(_ranges(hit)), hashlib.sha256(kept).hexdigest()))
-    return out

@@ -76,7 +76,6 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
     starts, total = {}, 0
     for row in totals:
         starts[row.task], total = total, total + row.n
-    small_batches(spark, 256)
     stride = 2 * length
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 import random
 
+import by_definition
 import numpy as np
 import pytest
 
@@ -142,7 +143,7 @@ def test_decontamination_equals_brute_force(spark, odd, nothing):
     benchmark = spark.createDataFrame(ITEMS, "item_id string, text string")
     phrases = decontaminate.benchmark_phrases(benchmark)
     report = decontaminate.contamination_report(decontaminate.find_contamination(odd, phrases))
-    want = decontaminate.brute_force(ODD_ROWS, [(i, t) for i, t in ITEMS if i is not None])
+    want = by_definition.contamination(ODD_ROWS, [(i, t) for i, t in ITEMS if i is not None])
     got = {(r.doc_id, r.n_words): tuple(r) for r in report.collect()}
     for row in want:
         if row[0] != 7:  # hit by the item without identifier
@@ -169,7 +170,7 @@ def test_large_benchmark_is_refused(spark, odd):
 def test_decontamination_on_documents(spark, sf_dir):
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     got = decontaminate.contamination_report(decontaminate.find_contamination(docs, decontaminate.benchmark_phrases(benchmark)))
-    want = decontaminate.brute_force([(r.doc_id, r.text) for r in docs.collect()], [(str(r.item_id), r.text) for r in benchmark.collect()])
+    want = by_definition.contamination([(r.doc_id, r.text) for r in docs.collect()], [(str(r.item_id), r.text) for r in benchmark.collect()])
     assert collected(got) == sorted(want, key=repr)
 
 
@@ -317,9 +318,9 @@ def test_ngram_join_equals_brute_force(spark, k, percent):
     rows = [*enumerate(texts), (900, None), (901, ""), (902, "one"), (903, "ONE"), (904, "one two"), (905, texts[0])]
     random.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert collected(ngram_join.similar_documents(docs, k, percent, sketch_bits=16)) == sorted(ngram_join.brute_force(rows, k, percent), key=repr)
+    assert collected(ngram_join.similar_documents(docs, k, percent, sketch_bits=16)) == sorted(by_definition.similar_classes(rows, k, percent), key=repr)
     # every token counted as frequent: the salted path
-    assert collected(ngram_join.similar_documents(docs, k, percent, sketch_bits=16, most_group=1)) == sorted(ngram_join.brute_force(rows, k, percent), key=repr)
+    assert collected(ngram_join.similar_documents(docs, k, percent, sketch_bits=16, most_group=1)) == sorted(by_definition.similar_classes(rows, k, percent), key=repr)
 
 
 def test_ngram_join_on_odd_rows(odd, nothing):
@@ -338,7 +339,7 @@ def test_repeats_equal_brute_force(spark, options):
     rows = [(1, base), (2, base[500:1200] + "x" * 50 + base[100:320]), (3, None), (4, ""), (5, "z" * 1000), (6, base[:199]), (7, base[:200]), (8, "é" * 150 + base[700:1000]), (9, base[700:1000] + "q"), (9, base[700:1000] + "q"), (10, "ab" * 300), (None, "y" + base[900:1150])]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
     got = suffix_dedup.removal_report(suffix_dedup.remove_repeats(docs, **options))
-    assert collected(got) == sorted(suffix_dedup.brute_force(rows, 200), key=repr)
+    assert collected(got) == sorted(by_definition.repeats(rows, 200), key=repr)
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0
 
 
@@ -353,7 +354,7 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
         parts = list(suffix_dedup._slices([raw.tobytes()], 200))
         assert sum(len(b) - 199 for b, _, _, _ in parts) == len(raw) - 199
         assert all((tool.runs(b, e)["high"] <= len(b) - 200).all() for b, e, _, _ in parts)
-    assert collected(suffix_dedup.removal_report(suffix_dedup.remove_repeats(docs))) == sorted(suffix_dedup.brute_force(rows, 200), key=repr)
+    assert collected(suffix_dedup.removal_report(suffix_dedup.remove_repeats(docs))) == sorted(by_definition.repeats(rows, 200), key=repr)
 
 
 # --- 8 lines

@@ -2,6 +2,7 @@
 
 import re
 
+import by_definition
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
 from ledgerloom.llm.tokens import Encoder
@@ -20,11 +21,11 @@ def test_stages_equal_plain_python(spark, sf_dir):
         first.setdefault(re.sub(exact_dedup.SPACE_RUN, " ", told[d]), d)
     single = {d: told[d] for d in first.values()}
 
-    heads = {d for d, _, least in ngram_join.brute_force(list(single.items()), 5, 80) if d == least}
+    heads = {d for d, _, least in by_definition.similar_classes(list(single.items()), 5, 80) if d == least}
     different = {d: t for d, t in single.items() if d in heads}
 
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    clean = {r[0] for r in decontaminate.brute_force(list(different.items()), items) if not r[5]}
+    clean = {r[0] for r in by_definition.contamination(list(different.items()), items) if not r[5]}
 
     wanted = [told, single, different, {d: different[d] for d in clean}]
     for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], wanted, strict=True):
