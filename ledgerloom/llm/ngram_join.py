@@ -30,7 +30,7 @@ SALTS = 1 << 16
 PARTS = 512
 PARITIES = [f"s{i}" for i in range(PARTS // 64)]
 #: Sets that are compared with one copy of a pivot, and rows of a token that are joined with one copy of its others.
-PART_ROWS = 512
+PART_ROWS = 64
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:

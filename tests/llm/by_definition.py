@@ -70,3 +70,21 @@ def repeats(docs, length):
         spans = sum(i - 1 not in hit for i in hit)
         out.append((d, len(t), len(hit), spans, hashlib.sha256(bytes(b for i, b in enumerate(t) if i not in hit)).hexdigest()))
     return out
+
+
+def repeated_lines(docs, least_chars=8, least_block_chars=40):
+    """Deleted lines of each document of (doc_id, text): each is compared with all earlier ones, diagonal by diagonal."""
+    lines = {d: [(i, own) for i, line in enumerate(text.split("\n")) if len(own := line.strip()) >= least_chars] for d, text in docs}
+    out = {}
+    for doc_id, own in lines.items():
+        for other in (x for d, x in lines.items() if d < doc_id):
+            for shift in range(-len(own), len(other)):
+                block = []
+                for k in range(len(own) + 1):
+                    if k < len(own) and 0 <= k + shift < len(other) and own[k][1] == other[k + shift][1]:
+                        block.append(own[k])
+                        continue
+                    if block and sum(len(x) for _, x in block) >= least_block_chars:
+                        out.setdefault(doc_id, set()).update(range(block[0][0], block[-1][0] + 1))
+                    block = []
+    return out

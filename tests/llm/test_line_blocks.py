@@ -2,6 +2,7 @@
 
 import random
 
+import by_definition
 from ledgerloom.llm import line_dedup
 
 
@@ -26,6 +27,6 @@ def test_random_lines_equal_brute_force(spark):
     rng = random.Random(11)
     lines = [x * n for x, n in zip("abcdefgh", (4, 8, 12, 19, 25, 39, 40, 60))]
     rows = [(d, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 7)))) for d in range(150)]
-    want = line_dedup.brute_force(rows)
+    want = by_definition.repeated_lines(rows)
     assert left(spark, rows) == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, ())) for d, t in rows}
     assert any(0 < len(x) < 5 for x in want.values())

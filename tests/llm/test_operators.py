@@ -364,7 +364,7 @@ def test_line_alignment_equals_brute_force(spark):
     lines = [prose(10) for _ in range(40)]
     rows = [(1, "\n".join(lines[:20])), (2, "\n".join([prose(9), *lines[5:15], "", *lines[15:18], prose(9)])), (3, "\n".join([lines[9], lines[8], lines[7]])), (4, "\n".join(lines[:20])), (5, "short\nshort\nshort"), (6, "\n".join([lines[1]] * 3)), (7, prose(20))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = line_dedup.brute_force(rows)
+    want = by_definition.repeated_lines(rows)
     for r in line_dedup.delete_repeated_lines(docs).collect():
         text = dict(rows)[r.doc_id]
         assert r.text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in want.get(r.doc_id, ()))
