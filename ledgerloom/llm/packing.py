@@ -2,15 +2,17 @@
 
 Documents are tokenised where they lie and leave only lengths and checksums. Pieces are dealt into blocks of a few thousand; each
 block is a packing problem of its own, evolved on several islands. A crossover injects whole well-filled bins of one parent into
-the other, drops the bins there that hold the same pieces, and best-fits what that displaced. Between epochs each island's elite
-migrates to the next island of its block. Then the bins that stayed underfilled in any block are dealt anew into fewer blocks,
-until one block is left, or until dealing them anew helps no more; what is underfilled then stays as it is.
+the other, empties the bins there that hold some of the same pieces, lets what that displaced replace pieces that fill other bins
+worse, and best-fits the rest. Between epochs each island's elite migrates to the next island of its block. Then the bins that
+stayed underfilled in any block are dealt anew into fewer blocks, until one block is left. Where that helps no more, only the
+poorest bin of each block is dealt anew.
 """
 
 import math
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -78,23 +80,77 @@ def best_fit(items: list[int], lengths: list[int], bins: list[list[int]], room:
         mask |= 1 << (r - n)
 
 
-def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], size: int, rng: random.Random) -> list[list[int]]:
-    """The child of a that takes whole well-filled bins of b."""
+def refill(bins: list[list[int]], room: list[int], loose: list[int], lengths: list[int], size: int, rounds: int = 12) -> list[int]:
+    """Exchange up to two items of a bin for one or two loose ones that fill it better, best gain first; what is loose in the end.
+
+    Every exchange leaves less loose, so the bins that the loose items need become fewer.
+    """
+    for _ in range(rounds):
+        if not loose:
+            break
+        loose = sorted(loose, key=lengths.__getitem__)
+        own = np.array([lengths[i] for i in loose], np.int64)
+        x, y = np.triu_indices(len(own), 1)
+        sums, x, y = np.append(own, own[x] + own[y]), np.append(np.arange(len(own)), x), np.append(np.full(len(own), -1), y)
+        order = np.argsort(sums, kind="stable")
+        order = order[: np.searchsorted(sums[order], size, side="right")]
+        sums = sums[order]
+        out: list[tuple[int, tuple[int, ...]]] = []
+        taken: list[int] = []
+        for b, held in enumerate(bins):
+            if room[b]:
+                few = held[:6]
+                for leave in ((), *((i,) for i in few), *combinations(few, 2)):
+                    out.append((b, leave))
+                    taken.append(sum(lengths[i] for i in leave))
+        if not out or not len(sums):
+            break
+        less = np.array(taken, np.int64)
+        at = np.searchsorted(sums, less + np.array([room[b] for b, _ in out], np.int64), side="right") - 1
+        gain = np.where(at >= 0, sums[at] - less, 0)
+        best = np.flatnonzero(gain > 0)
+        best = best[np.argsort(-gain[best], kind="stable")]
+        used_bins: set[int] = set()
+        used: set[int] = set()
+        for k in best.tolist():
+            b, leave = out[k]
+            come = [i for i in (int(x[order[at[k]]]), int(y[order[at[k]]])) if i >= 0]
+            if b in used_bins or not used.isdisjoint(come):
+                continue
+            used_bins.add(b)
+            used.update(come)
+            bins[b] = [i for i in bins[b] if i not in leave] + [loose[i] for i in come]
+            room[b] -= int(gain[k])
+            loose += leave
+        if not used:
+            break
+        loose = [i for n, i in enumerate(loose) if n not in used]
+    return loose
+
+
+def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], size: int, rng: random.Random, gifts: int = 24) -> list[list[int]]:
+    """The child of a that takes whole well-filled bins of b.
+
+    Bins of a that share an item with a gift are emptied, and so, as mutation, are some of its poorest. What that displaces is
+    exchanged for items that fill the other bins worse, and the rest is best-fitted.
+    """
     fill = [sum(lengths[i] for i in x) for x in b]
-    full = [x for x, f in zip(b, fill, strict=True) if f >= 0.995 * size]
-    gift = [x for x in full if rng.random() < 0.5] or [b[max(range(len(b)), key=fill.__getitem__)]]
+    of_a = {tuple(sorted(x)) for x in a}
+    full = [n for n in sorted(range(len(b)), key=fill.__getitem__, reverse=True) if tuple(sorted(b[n])) not in of_a][: 4 * gifts]
+    gift = [b[n] for n in rng.sample(full, min(gifts, len(full)))]
     taken = {i for x in gift for i in x}
     bins, room, displaced = [list(x) for x in gift], [size - sum(lengths[i] for i in x) for x in gift], []
-    for x in a:
-        if taken.isdisjoint(x):
-            used = sum(lengths[i] for i in x)
-            if used < 0.97 * size and rng.random() < 0.5:  # mutation: empty poorly filled bins
-                displaced += x
-            else:
-                bins.append(list(x))
-                room.append(size - used)
-        else:
+    used = [sum(lengths[i] for i in x) for x in a]
+    poor = set(sorted(range(len(a)), key=used.__getitem__)[: rng.randint(1, gifts)])
+    for n, x in enumerate(a):
+        if not taken.isdisjoint(x):
             displaced += [i for i in x if i not in taken]
+        elif n in poor:
+            displaced += x
+        else:
+            bins.append(list(x))
+            room.append(size - used[n])
+    displaced = refill(bins, room, displaced, lengths, size)
     best_fit(displaced, lengths, bins, room, size)
     return bins
 
@@ -104,9 +160,14 @@ def fitness(bins: list[list[int]], lengths: list[int], size: int) -> tuple[int,
     return -len(bins), sum((sum(lengths[i] for i in x) / size) ** 2 for x in bins)
 
 
+def least_bins(lengths: list[int], size: int) -> int:
+    """No packing has fewer: all are full, or each holds one item of over half the size."""
+    return max(-(-sum(lengths) // size), sum(2 * n > size for n in lengths))
+
+
 def evolve(population: list[list[list[int]]], lengths: list[int], size: int, generations: int, keep: int, rng: random.Random) -> list[list[list[int]]]:
     scored = sorted(((fitness(x, lengths, size), x) for x in population), key=lambda p: p[0], reverse=True)
-    least = -(-sum(lengths) // size)
+    least = least_bins(lengths, size)
     for _ in range(generations):
         if len(scored) < 2 or -scored[0][0][0] == least:
             break
@@ -125,6 +186,8 @@ def founders(lengths: list[int], size: int, count: int, rng: random.Random) -> l
         bins: list[list[int]] = []
         room: list[int] = []
         items = list(range(len(lengths)))
+        if found and len(found[0]) == least_bins(lengths, size):
+            break
         if k:
             rng.shuffle(items)
             head = items[: len(items) // 8]
@@ -183,26 +246,33 @@ def pack_blocks(units: DataFrame, size: int, islands: int, epochs: int, generati
         for b, x in enumerate(bins):
             own = group["length"].to_numpy(np.int64)[x]
             bin_of[x], offset[x], used[x] = b, np.cumsum(own) - own, own.sum()
-        return group.assign(bin=bin_of, offset=offset, used=used)[["unit", "length", "block", "bin", "offset", "used"]]
+        poorest = bin_of == bin_of[np.argmin(used)]
+        return group.assign(bin=bin_of, offset=offset, used=used, poorest=poorest)[["unit", "length", "block", "bin", "offset", "used", "poorest"]]
 
     state = units.groupBy("block").applyInPandas(begin, ISLAND)
     for _ in range(epochs):
         state = state.groupBy("block", "island").applyInPandas(epoch, ISLAND)
     best = state.select("block", "owner")
-    return units.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(settle, "unit long, length long, block long, bin long, offset long, used long")
+    return units.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(settle, "unit long, length long, block long, bin long, offset long, used long, poorest boolean")
+
+
+def fewer_blocks(units: int, blocks: int, block_units: int) -> int:
+    """At most half as many blocks, but not many more units in a block than the first had."""
+    fewer = max(1, min(blocks // 2, math.ceil(units / block_units)))
+    return math.ceil(units / block_units) if units > 2 * block_units * fewer else fewer
 
 
 def pack_documents(
-    docs: DataFrame, size: int = 2048, vocabulary: str | None = None, block_units: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 3, well_filled: float = 0.998, seed: int = 11
+    docs: DataFrame, size: int = 2048, vocabulary: str | None = None, block_units: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 4, well_filled: float = 0.998, seed: int = 11
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text).
 
     A document is its ids and the end id 0; null text is empty, so its one piece is the end id. Documents over size ids are cut
     into pieces of size, the first of which may be shorter. Every piece lies whole in one sequence of at most size ids, pieces of
     a sequence follow each other without gaps. Rows are told apart by place of reading, so repeated rows and null identifiers are
-    packed like others. Underfilled bins are dealt anew until one block is left, or until a round over no fewer blocks lowers their
-    units by less than a tenth; then all bins stay. Equal packings are broken by block and island number. An empty table gives an empty result; other columns
-    are dropped.
+    packed like others. Underfilled bins are dealt anew until one block is left. Each time there are fewer blocks or a tenth fewer
+    units, so that ends: after a round without either only each block's poorest bin is dealt anew, and if that is not a tenth fewer
+    units, all bins stay. Of equal packings the first by island stays. An empty table gives an empty result; other columns are dropped.
     """
     pieces = materialise(document_pieces(docs, size, vocabulary), "pack-pieces")
     whole = pieces.where(F.col("length") == size).select("unit", F.col("unit").alias("bin_unit"), F.lit(0).cast("long").alias("offset"))
@@ -215,21 +285,19 @@ def pack_documents(
         placed = materialise(pack_blocks(dealt, size, islands, epochs, generations, seed + step), "pack-bins")
         # a bin's name is the least of its units
         placed = placed.withColumn("bin_unit", F.min("unit").over(Window.partitionBy("block", "bin")))
-        good = F.lit(True) if blocks == 1 else F.col("used") >= well_filled * size
-        done = done.unionByName(placed.where(good).select("unit", "bin_unit", "offset"))
-        if blocks == 1:
-            break
-        rest = materialise(placed.where(~good).select("unit", "length"), "pack-rest")
-        left = rest.count()
-        if not left:
-            break
-        # fewer blocks each time, but not many more units in a block than the first had
-        fewer = max(1, min(blocks // 2, math.ceil(left / block_units)))
-        if left > block_units * fewer * 2:
+        again = F.lit(False) if blocks == 1 else F.col("used") < well_filled * size
+        left = placed.where(again).count()
+        fewer = fewer_blocks(left, blocks, block_units)
+        if fewer >= blocks and 10 * left > 9 * units:  # neither blocks nor units become fewer
+            again = F.col("poorest")
+            left = placed.where(again).count()
             fewer = math.ceil(left / block_units)
-        if fewer >= blocks and 10 * left > 9 * units:  # neither blocks nor units become fewer: all bins stay
-            done = done.unionByName(placed.where(~good).select("unit", "bin_unit", "offset"))
+            if 10 * left > 9 * units:
+                again, left = F.lit(False), 0
+        done = done.unionByName(placed.where(~again).select("unit", "bin_unit", "offset"))
+        if not left:
             break
+        rest = materialise(placed.where(again).select("unit", "length"), "pack-rest")
         blocks, units, step = fewer, left, step + 1
     joined = pieces.join(done, "unit")
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin_unit").alias("sequence_id"), "offset")
