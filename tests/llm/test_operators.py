@@ -384,8 +384,8 @@ def test_lines_of_odd_rows(odd, nothing):
 def test_cascade_is_exact(spark):
     keys = spark.range(4000).selectExpr("concat('k', id) AS key")
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 400, 3)] + [("absent",)], "key string")
-    levels = url_filter.cascade(listed, keys, bits_per_key=3, probes=1)
-    assert len(levels) > 2  # few bits, so that there are false positives to encode
+    levels = url_filter.cascade(listed, keys, most_wrong=0.8)
+    assert len(levels) > 2  # small filters, so that there are false positives to encode
     found = {r.key for r in keys.where(url_filter.is_listed(url_filter.F.col("key"), levels)).collect()}
     assert found == {f"k{i}" for i in range(0, 400, 3)}
 
