@@ -51,21 +51,23 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path or default_vocabulary())
         self.library.encode_special_tokens = True
+        #: Of ids: unsigned, 16 bits where the vocabulary allows.
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.most_words = most_words
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
-        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, dtype=np.uint16) for ids in self._lists(texts)]
+        return [np.array(ids, dtype=self.dtype) for ids in self._lists(texts)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
         plain = [i for i, t in enumerate(texts) if t and "'" not in t]
         odd = [i for i, t in enumerate(texts) if t and "'" in t]
         for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
@@ -137,7 +139,7 @@ class Encoder:
         order = np.argsort(known, kind="stable")  # two sorted runs, which this merges
         self.known = known[order]
         self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint16, int(count.sum()))])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.dtype, int(count.sum()))])
 
 
 @lru_cache(maxsize=1)

@@ -43,7 +43,7 @@ def feistel(values: np.ndarray, total: int, key: int, rounds: int = 6) -> np.nda
 
 
 def token_sequences(docs: DataFrame, length: int, vocabulary: str | None) -> DataFrame:
-    """doc_id, the task that read it, the number of sequences before it in that task, its number of ids, and ids (uint16).
+    """doc_id, the task that read it, the number of sequences before it in that task, its number of ids, and ids (unsigned, of the encoder's width).
 
     A task's output is committed whole, so its numbers stay right when it is run again on another executor.
     """
@@ -55,7 +55,7 @@ def token_sequences(docs: DataFrame, length: int, vocabulary: str | None) -> Dat
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]]), strict=True):
-                rows.append((doc_id, task, before, len(ids) + 1, np.append(ids, END).astype("<u2").tobytes()))
+                rows.append((doc_id, task, before, len(ids) + 1, np.append(ids, END).astype(encoder.dtype).tobytes()))
                 before += -(-(len(ids) + 1) // length)
             yield pd.DataFrame(rows, columns=["doc_id", "task", "before", "n_ids", "ids"])
 
@@ -68,7 +68,8 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
     A document's ids and the end id are cut into sequences of length ids, the last padded; null text is the end id alone. Result:
     doc_id, seq (from 0), n_ids (without padding), slot, shard, byte_offset in the shard, ids_crc32 (as unsigned 32-bit ids, without
     padding). Repeated rows and null identifiers get sequences of their own. An empty table writes no shard and returns no row.
-    The Parquet table at path has one row for each shard: shard, first_slot, n_sequences, payload (fixed stride, unsigned 16-bit).
+    The Parquet table at path has one row for each shard: shard, first_slot, n_sequences, payload (fixed stride; unsigned
+    16-bit ids, or 32-bit ones for a vocabulary of over 65,536). Parquet compresses a payload as a whole, so a shard is what is read at once.
     """
     spark = docs.sparkSession
     encoded = materialise(token_sequences(docs, length, vocabulary), "order-tokens")
@@ -76,7 +77,8 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
     starts, total = {}, 0
     for row in totals:
         starts[row.task], total = total, total + row.n
-    stride = 2 * length
+    kind = worker_encoder(vocabulary).dtype
+    stride = kind.itemsize * length
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +90,7 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
                     rows.append((doc_id, seq, min(length, n - seq * length), first + seq, ids[seq * stride : (seq + 1) * stride]))
             out = pd.DataFrame(rows, columns=["doc_id", "seq", "n_ids", "number", "ids"])
             out["slot"] = feistel(out["number"].to_numpy(), total, key) if len(out) else out["number"]
-            out["ids_crc32"] = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in out["ids"]]
+            out["ids_crc32"] = [zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in out["ids"]]
             yield out.drop(columns="number")
 
     placed = encoded.mapInPandas(place, f"doc_id {id_type}, seq int, n_ids int, ids binary, slot long, ids_crc32 long")
@@ -109,7 +111,7 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
                         done.append(row())
                     open_shard, parts, meta = shard, [], []
                 meta.append({"doc_id": doc_id, "seq": seq, "n_ids": n, "slot": slot, "byte_offset": len(parts) * stride, "ids_crc32": crc})
-                parts.append(ids + np.full(length - n, pad, "<u2").tobytes())
+                parts.append(ids + np.full(length - n, pad, kind).tobytes())
             yield pd.DataFrame(done, columns=["shard", "first_slot", "n_sequences", "payload", "contents"])
         if parts:
             yield pd.DataFrame([row()], columns=["shard", "first_slot", "n_sequences", "payload", "contents"])
@@ -121,8 +123,13 @@ def materialise_order(docs: DataFrame, path: str, length: int = 2048, shard_sequ
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int | None = None) -> DataFrame:
-    """slot and ids (binary, uint16, padded) from slot first up to last, for resuming: only the shards that hold them are read."""
-    table = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_sequences") > first)
+    """slot and ids (binary, padded) from slot first up to last, for resuming: only the shards that hold them are read.
+
+    All shards but the last have as many sequences as the longest, so the bounds are bounds on first_slot alone, which reach the scan.
+    """
+    table = spark.read.parquet(path)
+    size = table.agg(F.coalesce(F.max("n_sequences"), F.lit(1)).alias("n")).first().n
+    table = table.where(F.col("first_slot") > first - size)
     if last is not None:
         table = table.where(F.col("first_slot") <= last)
     stride = (F.length("payload") / F.col("n_sequences")).cast("int")
