@@ -11,7 +11,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     In each round every root hooks onto the least root that it is linked with, and all nodes then follow their roots' new roots.
     Links inside one component go; the loop ends when none is left. Rows are aggregated before they are shuffled, so a node with
-    very many links is no burden on one task.
+    very many links is no burden on one task. Repeated links, both directions of one and links of a node with itself do no harm; nodes
+    that have only the latter, and null ends, have no row. No links give an empty table; other columns are ignored.
     """
     open_links = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-links")
     nodes = materialise(open_links.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("root")), "cc-nodes")

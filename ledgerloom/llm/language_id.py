@@ -19,17 +19,21 @@ PIECE_BYTES = 16 << 10
 SAMPLE_PLACES = 4
 
 
-def language_dictionaries(train: DataFrame, sample_docs: int = 100, sample_chars: int = 2000, dict_bytes: int = 48 << 10, most_languages: int = 256) -> dict[str, bytes]:
-    """Raw-content dictionaries of at most dict_bytes, one for each non-null lang of train, most frequent language first.
+def language_dictionaries(train: DataFrame, sample_docs: int = 100, sample_chars: int = 2000, dict_bytes: int = 48 << 10, most_languages: int = 2000) -> dict[str, bytes]:
+    """Raw-content dictionaries of at most dict_bytes, one for each non-null lang of train (doc_id, text, lang), most frequent first.
 
     Learned from a bounded sample: the sample_docs documents of each language whose identifiers hash lowest, sample_chars of each,
     taken from SAMPLE_PLACES evenly spaced places of the whole text. They fill the dictionary in equal shares.
-    Compression gives every language dict_bytes at most, so what the driver holds does not grow with the corpus.
+    What the driver holds is bounded by the number of languages; more than most_languages values of lang are an error, as they are
+    no languages then. Rows with a null text or lang, and empty texts, teach nothing; a language of which no sampled text has a letter
+    has no dictionary, and an empty table gives none. Repeated rows count as they are; other columns are ignored.
     """
     train = train.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > most_languages:
+        raise ValueError(f"lang has over {most_languages} values")
     spread = 1 << 20
     order = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(spread))
     limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, 2 * sample_docs / n) * spread))))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, frames, small_batches
+from .common import Words, frames, materialise, small_batches
 
 
 @dataclass
@@ -95,11 +95,13 @@ def distinct_words(words: Words) -> Iterator[np.ndarray]:
         yield np.unique(words.hashes[a:b])
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), sample_docs: int = 10_000, n_folds: int = 5) -> list[Link]:
-    """A chain fitted on at most sample_docs labelled documents, those whose identifiers hash lowest.
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), sample_docs: int = 10_000, sample_words: int = 4_000_000, n_folds: int = 5) -> list[Link]:
+    """A chain fitted on at most sample_docs labelled documents, those whose identifiers hash lowest, with sample_words words in all.
 
-    Rows with a null label or identifier are left out; a document that is labelled twice counts with its least row. Only hashed
-    words of the sample reach the driver.
+    Words are counted once in each document; a document that would go over sample_words is left out with those after it, so what
+    reaches the driver, hashed words, is bounded whatever the texts' lengths. Rows with a null label, text or identifier are left out; a
+    document that is labelled twice counts with its least labels, one of several rows with its first. Without any labelled document
+    the chain calls nothing toxic. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     wanted = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*(F.min(c).cast("int").alias(c) for c in categories))
@@ -111,8 +113,12 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
             words = Words(list(batch["text"]), "ascii_alnum")
             yield batch[["order", *categories]].assign(words=[d.tobytes() for d in distinct_words(words)])
 
-    rows = sample.select("order", *categories, "text").mapInPandas(featurise, f"order long, {', '.join(f'{c} int' for c in categories)}, words binary").toPandas()
-    rows = rows.sort_values("order").drop_duplicates("order")
+    features = sample.select("order", *categories, "text").mapInPandas(featurise, f"order long, {', '.join(f'{c} int' for c in categories)}, words binary")
+    features = materialise(features, "toxicity-sample")
+    sizes = features.select("order", (F.length("words") / 8).cast("long").alias("n")).orderBy("order", "n").toPandas()  # sample_docs rows or few more
+    kept = sizes[sizes["n"].cumsum() <= sample_words]["order"]
+    rows = features.where(F.col("order") <= int(kept.max())).toPandas() if len(kept) else features.limit(0).toPandas()
+    rows = rows.sort_values("order", kind="stable").drop_duplicates("order")
     if rows.empty:
         return [Link(c, np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -30.0) for i, c in enumerate(categories)]
     found = [np.frombuffer(w, np.uint64) for w in rows["words"]]
