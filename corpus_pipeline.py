@@ -2,6 +2,10 @@
 
 STAGES are applied in order; each takes (spark, docs, sf_dir), works on every row that the one before kept, and returns a DataFrame
 that is written as Parquet and read again. All but the last return the columns of documents.
+
+Every stage judges rows by themselves, not by identifier: null and repeated identifiers do no harm, and rows that are equal in identifier
+and text are judged alike. Null texts have no letters, no words and no ids; they are dropped by the first stage, and kept as empty ones
+by the others but for exact copies. An empty table gives an empty result. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise
+from ledgerloom.llm.common import free_name, materialise
 from ledgerloom.llm.decontaminate import benchmark_phrases, find_contamination
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.language_id import held_out, identify_language, language_dictionaries
@@ -31,7 +35,8 @@ def _key() -> Column:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of docs whose key is not in gone (key)."""
-    return docs.withColumn("_key", _key()).join(gone.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
+    name = free_name("key", docs.columns)
+    return docs.withColumn(name, _key()).join(gone.select(F.col("key").alias(name)), name, "left_anti").select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +46,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first of equal texts."""
-    return exact_dedup(docs).where("kept").select(docs.columns)
+    """Keep the first of equal texts: that of the least identifier, of those one."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in rest), F.lit(0).alias(free_name("none", rest))).alias("rest"))
+    kept = exact_dedup(rows).where("kept")
+    return kept.select(*(F.col("rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns))
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group that links of similarity 0.8 or more over five-word shingles connect."""
+    """Keep the first document of each group that links of similarity 0.8 or more over five-word shingles connect.
+
+    The first has the least identifier (null comes last), of equal ones the least key. Texts without words link with nothing.
+    """
     judged = similar_documents(keyed(docs), k=5, percent=80)
     linked = materialise(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("key"), "component_id"), "similar-linked")
     members = linked.unionByName(linked.select(F.col("component_id").alias("key"), "component_id")).distinct()
@@ -58,14 +69,14 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without a window of benchmark words."""
+    """Keep documents without a window of benchmark words; null texts have none."""
     phrases = benchmark_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     judged = find_contamination(keyed(docs), phrases)
     return without(docs, judged.where("n_hit > 0").select(F.col("doc_id").alias("key")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 ids."""
+    """Where each piece of each document lies in sequences of 2048 ids; a null text is one piece, the end id."""
     return pack_documents(docs)
 
 
