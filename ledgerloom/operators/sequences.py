@@ -29,6 +29,23 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str,
     return rows.join(starts, [*keys, "_part"]).withColumns(totals).drop("_part", *(f"_start_{o}" for o in values))
 
 
+def global_places(df: DataFrame, first: str, order: str, ties: list[str], out: str, chunk: int = CHUNK) -> DataFrame:
+    """df with out: the place (from 1) of each row in the order of first, the integer column order, and ties, over the whole table.
+
+    Rows are ranked inside ranges of order within a value of first; the counts of earlier ranges and of earlier values of first come
+    from aggregates. first should have few values (a date); their number doesn't bound how many tasks share the work.
+    """
+    rows = df.withColumn("_part", F.expr(f"`{order}` div {chunk}"))
+    counts = rows.groupBy(first, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(first).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # a row for each value of first
+    values = counts.groupBy(first).agg(F.sum("_n").alias("_m")).select(first, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    starts = counts.select(first, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")).join(values, first)
+    inside = Window.partitionBy(first, "_part").orderBy(order, *ties)
+    ranked = rows.withColumn("_rank", F.row_number().over(inside)).join(starts, [first, "_part"])
+    return ranked.withColumn(out, F.col("_before") + F.col("_start") + F.col("_rank")).drop("_part", "_before", "_start", "_rank")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; aggregated before the shuffle, so that hot keys send a row for each task."""
     rest = [c for c in df.columns if c not in keys]

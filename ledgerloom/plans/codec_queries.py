@@ -22,11 +22,11 @@ def json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.posexplode("j.items").alias("i", "item"))
 
 
-@query("SELECT sid, '[' || string_agg(body, ',' ORDER BY seq) || ']' AS page FROM messages WHERE msg_offset < 200 GROUP BY sid", "messages")
+@query("SELECT sid, msg_offset // 200 AS page_no, '[' || string_agg(body, ',' ORDER BY seq) || ']' AS page FROM messages GROUP BY sid, msg_offset // 200", "messages")
 def json_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page (messages that start below byte 200) as one JSON array."""
-    page = messages(spark, sf_dir).where("msg_offset < 200").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("m"))
-    return page.select("sid", F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["body"]), ","), F.lit("]")).alias("page"))
+    """Every page (messages that start in the same 200 bytes) as one JSON array."""
+    page = messages(spark, sf_dir).groupBy("sid", F.expr("msg_offset div 200").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("m"))
+    return page.select("sid", "page_no", F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["body"]), ","), F.lit("]")).alias("page"))
 
 
 _TYPES = "CASE event_id % 5 WHEN 0 THEN ' Application/JSON; charset=utf-8' WHEN 1 THEN 'text/plain' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'IMAGE/PNG ;x=1' END"
@@ -50,10 +50,10 @@ def rfc3339(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
 
 
-@query("SELECT doc_id, translate(rtrim(to_base64(encode(substr(text, 1, 20))), '='), '+/', '-_') AS coded, sha256(substr(text, 1, 20)) AS sha256 FROM documents")
+@query("SELECT doc_id, translate(rtrim(to_base64(encode(text)), '='), '+/', '-_') AS coded, sha256(text) AS sha256 FROM documents")
 def base64url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded without padding, and the hash of what decoding gives back."""
-    coded = read(spark, sf_dir, "documents").select("doc_id", codecs.base64url(F.substring("text", 1, 20).cast("binary")).alias("coded"))
+    coded = read(spark, sf_dir, "documents").select("doc_id", codecs.base64url(F.col("text").cast("binary")).alias("coded"))
     return coded.select("doc_id", "coded", F.sha2(codecs.unbase64url(F.col("coded")), 256).alias("sha256"))
 
 
@@ -99,7 +99,7 @@ def shard_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 shards on the nodes that the nations' names stand for."""
-    nodes = [r.n_name for r in read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").limit(5).collect()]
+    nodes = [r.n_name for r in read(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]  # a list of nodes
     return spark.createDataFrame(sorted(C.placement(64, nodes).items()), "shard int, node string")
 
 

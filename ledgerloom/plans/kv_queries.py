@@ -235,14 +235,15 @@ def reduced_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seq_to_time_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time of a sequence number, rounded down and up; sequence numbers and times rise together."""
-    index = log_index(spark, sf_dir)
-    out = None
-    for seq in (100, 5000, 14000):
-        down = F.max_by(F.when(F.col("snap_offset") <= seq, F.col("created_ms")), F.when(F.col("snap_offset") <= seq, F.col("snap_offset")))
-        up = F.min_by(F.when(F.col("snap_offset") >= seq, F.col("created_ms")), F.when(F.col("snap_offset") >= seq, F.col("snap_offset")))
-        row = index.agg(down.alias("at_or_before"), up.alias("at_or_after")).select(F.lit(seq).cast("long").alias("seq"), "at_or_before", "at_or_after")
-        out = row if out is None else out.unionByName(row)
-    return out
+    asked = [100, 5000, 14000]
+
+    def nearest(seq: int):
+        down, up = F.when(F.col("snap_offset") <= seq, F.col("snap_offset")), F.when(F.col("snap_offset") >= seq, F.col("snap_offset"))
+        times = F.max_by("created_ms", down).alias("at_or_before"), F.min_by("created_ms", up).alias("at_or_after")
+        return F.struct(F.lit(seq).cast("long").alias("seq"), *times)
+
+    row = log_index(spark, sf_dir).agg(F.array(*map(nearest, asked)).alias("found"))  # one pass for all
+    return row.select(F.explode("found").alias("f")).select("f.*")
 
 
 @query("SELECT batch % 4 AS shard, max(seq) AS last_seq, max(CASE WHEN seq % 10 < 8 THEN seq END) AS durable_seq, max(seq) - max(CASE WHEN seq % 10 < 8 THEN seq END) AS lag FROM kv_log GROUP BY batch % 4", "kv_log")

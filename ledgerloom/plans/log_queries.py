@@ -220,12 +220,14 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT page_id, page_id * 2 + u AS object FROM pages, unnest([0, 1, 2]) t(u) WHERE page_id * 1000 + 5000 <= 100000)
+    """WITH k AS (SELECT page_id, page_id * 2 + u AS object FROM pages, unnest([0, 1, 2]) t(u) WHERE page_id * 1000 + 5000 <= (SELECT max(page_id) FROM pages) * 500)
        SELECT page_id, object FROM k WHERE object NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)"""
 )
 def sweep_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of due intents that no record refers to."""
-    due = read(spark, sf_dir, "pages").where("page_id * 1000 + 5000 <= 100000")
+    pages = read(spark, sf_dir, "pages")
+    now = pages.agg((F.max("page_id") * 500).alias("now"))  # half of the intents are due
+    due = pages.join(F.broadcast(now)).where("page_id * 1000 + 5000 <= now")
     keys = due.select("page_id", F.explode(F.array(*(F.col("page_id") * 2 + i for i in range(3)))).alias("object"))
     return FS.unreferenced(keys, read(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("object")), ["object"]).select("page_id", "object")
 

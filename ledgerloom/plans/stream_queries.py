@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import codecs
 from ledgerloom.operators import streams as S
 from ledgerloom.operators.sequences import prefix_filter
-from ledgerloom.sources.tables import DAY_MS, files, forks, messages, streams
+from ledgerloom.sources.tables import DAY_MS, files, forks, messages, stored_messages, streams
 
 from .registry import query
 
@@ -25,7 +25,8 @@ def stream_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "streams",
 )
 def stream_read_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir).join(streams(spark, sf_dir).select("sid", "trim"), "sid")
+    own = stored_messages(spark, sf_dir)
+    rows = own.join(streams(spark, sf_dir, own).select("sid", "trim"), "sid")
     return S.read_page(rows, F.col("trim"), 64).select("sid", "seq", "msg_offset", "next_offset")
 
 
@@ -121,19 +122,20 @@ _FLOOR = """f AS (SELECT s.sid, greatest(s.sid % 7, least(trim, coalesce(min(for
                   FROM streams s LEFT JOIN forks ON source = s.sid GROUP BY s.sid, trim)"""
 
 
-def _floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pins = forks(spark, sf_dir).select(F.col("source").alias("sid"), F.expr("fork_offset div 2").alias("start"))
-    return S.reclaim_floor(streams(spark, sf_dir).withColumn("reclaimed", F.col("sid") % 7), pins)
+def _floors(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    pins = forks(spark, sf_dir, rows=rows).select(F.col("source").alias("sid"), F.expr("fork_offset div 2").alias("start"))
+    return S.reclaim_floor(streams(spark, sf_dir, rows).withColumn("reclaimed", F.col("sid") % 7), pins)
 
 
 @query(f"WITH {_FLOOR} SELECT sid, floor FROM f", "forks")
 def reclaim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _floors(spark, sf_dir)
+    return _floors(spark, sf_dir, stored_messages(spark, sf_dir))
 
 
 @query(f"WITH {_FLOOR} SELECT m.sid, m.seq, msg_offset FROM messages m JOIN f ON f.sid = m.sid WHERE msg_offset < floor", "forks")
 def reclaimable_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).join(_floors(spark, sf_dir), "sid").where("msg_offset < floor").select("sid", "seq", "msg_offset")
+    rows = stored_messages(spark, sf_dir)
+    return rows.join(_floors(spark, sf_dir, rows), "sid").where("msg_offset < floor").select("sid", "seq", "msg_offset")
 
 
 @query(
@@ -143,7 +145,8 @@ def reclaimable_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     "forks",
 )
 def fork_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = S.lineage(streams(spark, sf_dir).select("sid"), forks(spark, sf_dir))
+    rows = stored_messages(spark, sf_dir)
+    ranges = S.lineage(rows.select("sid").distinct(), forks(spark, sf_dir, rows=rows))
     return ranges.groupBy(F.col("reader").alias("sid")).agg(F.max("level").alias("depth"))
 
 
@@ -155,7 +158,8 @@ def fork_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     "forks",
 )
 def fork_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fork_read(messages(spark, sf_dir), S.lineage(streams(spark, sf_dir).select("sid"), forks(spark, sf_dir)))
+    rows = stored_messages(spark, sf_dir)
+    return S.fork_read(rows, S.lineage(rows.select("sid").distinct(), forks(spark, sf_dir, rows=rows)))
 
 
 @query("SELECT sid, seq, substr(body, 1, CAST(seq % 5 AS BIGINT)) AS prefix, msg_offset FROM messages", "messages")

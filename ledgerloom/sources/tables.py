@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.sequences import running_total, running_totals
+from ledgerloom.operators.sequences import global_places, running_total, running_totals
+from ledgerloom.sources.storage import materialise
 
 DAY_MS = 86_400_000
 
@@ -38,17 +39,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("next_offset", F.col("msg_offset") + F.col("size"))
 
 
-def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each stream: n, tail, trim (the offset of message n div 4), ttl_s, last_access_ms."""
-    rows = messages(spark, sf_dir)
+def stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages as a written table, for plans that read it more than once."""
+    return materialise(messages(spark, sf_dir), "messages")
+
+
+def streams(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """One row for each stream: n, tail, trim (the offset of message n div 4), ttl_s, last_access_ms. rows: messages, if at hand."""
+    rows = messages(spark, sf_dir) if rows is None else rows
     totals = rows.groupBy("sid").agg(F.count("*").alias("n"), F.sum("size").alias("tail"), F.max("ts_ms").alias("last_access_ms"))
     trims = rows.join(totals.select("sid", F.expr("n div 4").alias("at")), "sid").where("place = at").select("sid", F.col("msg_offset").alias("trim"))
     return totals.join(trims, "sid").withColumn("ttl_s", F.when(F.col("sid") % 5 > 0, F.col("sid") % 5 * 86400))
 
 
-def forks(spark: SparkSession, sf_dir: str, divisor: int = 4) -> DataFrame:
+def forks(spark: SparkSession, sf_dir: str, divisor: int = 4, rows: DataFrame | None = None) -> DataFrame:
     """sid, source, fork_offset: stream u forks from u div divisor at half of the source's own bytes, rarely a message's boundary."""
-    own = messages(spark, sf_dir).groupBy("sid").agg(F.sum("size").alias("tail"))
+    own = (messages(spark, sf_dir) if rows is None else rows).groupBy("sid").agg(F.sum("size").alias("tail"))
     children = own.where("sid > 0").select("sid", F.expr(f"sid div {divisor}").alias("source"))
     return children.join(own.select(F.col("sid").alias("source"), F.expr("tail div 2").alias("fork_offset")), "source").select("sid", "source", "fork_offset")
 
@@ -56,11 +62,7 @@ def forks(spark: SparkSession, sf_dir: str, divisor: int = 4) -> DataFrame:
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """partition, key, seq, batch, batch_pos, op, value, amount, create_ts, expire_ts: line items as writes in order of shipping."""
     items = read(spark, sf_dir, "lineitem")
-    within = Window.partitionBy("l_shipdate").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    days = items.groupBy("l_shipdate").count()
-    # a global order of rows without a global sort: rank in the day, after the rows of all earlier days (a row for each day)
-    before = days.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("l_shipdate", "before")
-    rows = items.withColumn("rank", F.row_number().over(within)).join(before, "l_shipdate").withColumn("seq", F.col("before") + F.col("rank"))
+    rows = global_places(items, "l_shipdate", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "seq")
     ttl = F.col("l_linenumber") % 3 * DAY_MS
     return rows.select(
         F.concat("l_returnflag", "l_linestatus").alias("partition"),
@@ -97,10 +99,8 @@ def log_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snap_offset, created_ms: orders as published snapshots of one log, in order of their dates."""
     orders = read(spark, sf_dir, "orders")
-    within = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
-    before = orders.groupBy("o_orderdate").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("o_orderdate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("o_orderdate", "before")
-    rows = orders.withColumn("rank", F.row_number().over(within)).join(before, "o_orderdate")
-    return rows.select((F.col("before") + F.col("rank")).alias("snap_offset"), millis("o_orderdate").alias("created_ms"), F.col("o_orderkey").alias("order_key"))
+    rows = global_places(orders, "o_orderdate", "o_orderkey", [], "snap_offset")
+    return rows.select("snap_offset", millis("o_orderdate").alias("created_ms"), F.col("o_orderkey").alias("order_key"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
