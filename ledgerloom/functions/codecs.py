@@ -88,3 +88,19 @@ def xxh64(value: pd.Series) -> pd.Series:
 def unsigned_mod(signed: Column, n: int) -> Column:
     """The remainder of a 64-bit value read as unsigned."""
     return F.pmod(F.pmod(signed, F.lit(n)) + F.when(signed < 0, (1 << 64) % n).otherwise(0), F.lit(n))
+
+
+def cut_order(cut: Column, size: Column, bound: Column) -> Column:
+    """gt, lt, eq or unknown: how a key of size bytes that begins with cut stands to bound. Bytes order keys; cut has whole characters."""
+    known = F.octet_length(cut)
+    head = F.substring(bound.cast("binary"), F.lit(1), F.least(known, F.octet_length(bound)))
+    whole = F.when(cut > bound, "gt").when(cut < bound, "lt").otherwise("eq")
+    part = F.when(cut.cast("binary") > head, "gt").when(cut.cast("binary") < head, "lt").when(F.octet_length(bound) <= known, "gt").otherwise("unknown")
+    return F.when(size == known, whole).otherwise(part)
+
+
+def header_integer(header: Column) -> Column:
+    """A struct of outcome (absent, ok, bad_request) and number: non-negative decimal digits without leading zeros."""
+    fits = header.rlike("\\A(0|[1-9][0-9]*)\\z")
+    outcome = F.when(header.isNull(), "absent").when(fits, "ok").otherwise("bad_request")
+    return F.struct(outcome.alias("outcome"), F.when(fits, header.try_cast("long")).alias("number"))

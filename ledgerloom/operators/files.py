@@ -25,3 +25,8 @@ def clamp_range(first: Column, last: Column, suffix: Column, size: Column) -> Co
 
 def unreferenced(keys: DataFrame, referenced: DataFrame, on: list[str]) -> DataFrame:
     return keys.join(referenced.select(*on).distinct(), on, "left_anti")
+
+
+def deleted_bodies(deleted: DataFrame, retention_ms: int) -> DataFrame:
+    """deleted (size, deleted_ms) files whose body is an object, and when that may go (due_ms)."""
+    return deleted.where(storage_class(F.col("size")) == "object").withColumn("due_ms", F.col("deleted_ms") + retention_ms)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequences import latest, running_total
@@ -116,3 +116,15 @@ def _conflicts(transactions: DataFrame, mine: DataFrame, others: DataFrame, widt
     mine = mine.join(transactions, "tx").withColumn("_slot", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"commit div {width}"))))
     theirs = others.where("wrote").join(transactions, "tx").select(F.col("tx").alias("_other"), "key", F.col("commit").alias("_at"), F.expr(f"commit div {width}").alias("_slot"))
     return mine.join(theirs, ["key", "_slot"]).where("_other <> tx AND begin < _at AND _at < commit").select("tx").distinct()
+
+
+def deadline_outcome(applied: Column, deadline: Column) -> Column:
+    """A write is applied only before its deadline, by the clock of the writer; a null deadline never ends."""
+    return F.when(F.coalesce(applied < deadline, F.lit(True)), "ok").otherwise("deadline_exceeded")
+
+
+def overlaid(rows: DataFrame, overlay: DataFrame) -> DataFrame:
+    """State rows (partition, key, value, seq) as a transaction sees them: its uncommitted writes (op, place) hide them and have no seq."""
+    mine = latest(overlay, KEY, ["place"])
+    kept = rows.join(mine.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(mine.where("op <> 'delete'").select(*KEY, "value", F.lit(None).cast("long").alias("seq")))

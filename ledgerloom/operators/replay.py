@@ -84,36 +84,100 @@ def batch_step(state: dict, command: tuple) -> tuple:
 
 
 def append_step(state: dict, command: tuple) -> tuple:
-    """(op, content_type, epoch, producer_seq, stream_seq, bytes) on one stream; errors are tried in a fixed order."""
-    op, content_type, epoch, seq, stream_seq, size = command
+    """(op, content_type, producer, epoch, producer_seq, stream_seq, bytes, close) on one stream: outcome, tail, and the number echoed.
+
+    op is create, append or close; an append may close too, and without a body it must. Checks come in a fixed order: open, content type,
+    producer, stream sequence. Every producer has its own epoch and number. What closed the stream is a duplicate when it is sent again.
+    """
+    op, content_type, producer, epoch, seq, stream_seq, size, close = command
     if op == "create":
-        if state and state["content_type"] != content_type:
-            return "conflict", state["tail"]
-        fresh = not state
-        if fresh:
-            state.update(content_type=content_type, tail=0, closed=False, producer={}, stream_seq=None)
-        return ("created" if fresh else "exists"), state["tail"]
+        if state:
+            return ("exists" if state["content_type"] == content_type and not state["closed"] else "conflict"), state["tail"], None
+        state.update(content_type=content_type, tail=0, closed=False, closed_by=None, producers={}, stream_seq=None)
+        return "created", 0, None
     if not state:
-        return "not_found", None
+        return "not_found", None, None
+    tail, close = state["tail"], op == "close" or bool(close)
+    size = 0 if op == "close" else size
+    if not size and not close:
+        return "bad_request", tail, None
+    sender = None if producer is None else (producer, epoch, seq)
     if state["closed"]:
-        return ("closed" if op == "append" else "already_closed"), state["tail"]
-    if op == "close":
-        state["closed"] = True
-        return "closed_now", state["tail"]
-    if content_type != state["content_type"]:
-        return "content_type_mismatch", state["tail"]
-    producer = dict(state["producer"])
-    if epoch is not None:
-        outcome, _ = producer_step(producer, (epoch, seq))
+        if sender is not None and sender == state["closed_by"]:
+            return "duplicate", tail, seq
+        return ("already_closed" if not size and sender is None else "closed"), tail, None
+    if size and content_type is not None and content_type != state["content_type"]:
+        return "content_type_mismatch", tail, None
+    own = dict(state["producers"].get(producer, {}))
+    if sender is not None:
+        outcome, number = producer_step(own, (epoch, seq))
         if outcome != "appended":
-            return outcome, state["tail"]
-    if stream_seq is not None:
+            return outcome, tail, number
+    if size and stream_seq is not None:
         if state["stream_seq"] is not None and stream_seq <= state["stream_seq"]:
-            return "stream_seq_conflict", state["tail"]
+            return "stream_seq_conflict", tail, None
         state["stream_seq"] = stream_seq
-    state["producer"] = producer
-    state["tail"] += 4 + size
-    return "appended", state["tail"]
+    if sender is not None:
+        state["producers"][producer] = own
+    if close:
+        state.update(closed=True, closed_by=sender)
+    if size:
+        state["tail"] += 4 + size
+    return ("appended" if size else "closed_now"), state["tail"], None if sender is None else seq
+
+
+def lifecycle_step(state: dict, command: tuple) -> tuple:
+    """(op, ms, content_type, ttl_s) on one path: create, read, delete, fork (a child pins it) or unfork. Outcome and the number of forks.
+
+    A sliding time to live ends a stream ttl_s after its last access. A stream that ends or is deleted while forks pin it is gone: it
+    can't be read, and its path can't be used again, until the last fork goes.
+    """
+    op, ms, content_type, ttl_s = command
+    if state and not state["gone"] and state["ttl_s"] and ms >= state["accessed"] + state["ttl_s"] * 1000:
+        _end(state)
+    if op == "unfork":
+        if not state or not state["forks"]:
+            return "not_found", 0
+        state["forks"] -= 1
+        left, reclaimed = state["forks"], state["gone"] and not state["forks"]
+        if reclaimed:
+            state.clear()
+        return ("reclaimed" if reclaimed else "unforked"), left
+    if op == "create":
+        if not state:
+            state.update(content_type=content_type, ttl_s=ttl_s, accessed=ms, forks=0, gone=False)
+            return "created", 0
+        same = not state["gone"] and (state["content_type"], state["ttl_s"]) == (content_type, ttl_s)
+        return ("exists" if same else "conflict"), state["forks"]
+    if not state:
+        return "not_found", 0
+    if state["gone"]:
+        return "gone", state["forks"]
+    if op == "delete":
+        forks = state["forks"]
+        _end(state)
+        return ("soft_deleted" if forks else "deleted"), forks
+    state["accessed"] = ms
+    if op == "fork":
+        state["forks"] += 1
+    return ("forked" if op == "fork" else "read"), state["forks"]
+
+
+def _end(state: dict) -> None:
+    if state["forks"]:
+        state["gone"] = True
+    else:
+        state.clear()
+
+
+def expiry_index_step(state: dict, command: tuple) -> tuple:
+    """(ms, ttl_s): whether an access moves the expiry index, and the deadline there; it moves at most once in a tenth of the time to live."""
+    ms, ttl_s = command
+    due = ms + ttl_s * 1000
+    moved = not state or due - state["due"] >= ttl_s * 100
+    if moved:
+        state["due"] = due
+    return moved, state["due"]
 
 
 def claim_step(state: dict, command: tuple) -> tuple:

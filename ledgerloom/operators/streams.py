@@ -83,3 +83,18 @@ def join_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and body (binary): parts of a message put together again; a message has a bounded number of parts."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "bytes")))
     return parts.groupBy(*keys).agg(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("body"))
+
+
+def guarded(writes: DataFrame, sealed: DataFrame, streams: DataFrame) -> DataFrame:
+    """writes with outcome: sealed, conflict or ok.
+
+    writes: grp, unsealed (whether its group must not be sealed), absent (a stream that must not be), identity and offset (a stream that
+    must end there). sealed: grp. streams: sid, tail. The seal is looked at first.
+    """
+    seals = sealed.select("grp", F.lit(True).alias("_sealed")).distinct()
+    there = streams.select(F.col("sid").alias("absent"), F.lit(True).alias("_there"))
+    ends = streams.select(F.col("sid").alias("identity"), F.col("tail").alias("_tail"))
+    rows = writes.join(seals, "grp", "left").join(there, "absent", "left").join(ends, "identity", "left")
+    moved = F.col("identity").isNotNull() & F.coalesce(F.col("_tail") != F.col("offset"), F.lit(True))
+    outcome = F.when(F.col("unsealed") & F.col("_sealed").isNotNull(), "sealed").when(F.col("_there").isNotNull() | moved, "conflict").otherwise("ok")
+    return rows.withColumn("outcome", outcome).drop("_sealed", "_there", "_tail")

@@ -1,9 +1,9 @@
 """All registered queries of the library."""
 
-from . import check_queries, codec_queries, kv_queries, log_queries, stream_queries
+from . import check_queries, codec_queries, inspect_queries, kv_queries, log_queries, stream_queries
 from .registry import QUERIES, SQL, Query
 
-__all__ = ["check_queries", "codec_queries", "kv_queries", "log_queries", "oracle_sql", "queries", "stream_queries"]
+__all__ = ["check_queries", "codec_queries", "inspect_queries", "kv_queries", "log_queries", "oracle_sql", "queries", "stream_queries"]
 
 
 def queries() -> dict[str, Query]:

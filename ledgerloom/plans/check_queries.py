@@ -177,28 +177,51 @@ def _stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(F.col("event_id") % 23 == 0, "text/plain").otherwise("application/json")
     # producers number their own appends; some numbers are repeated or skipped
     own = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 2 - F.when(F.col("event_id") % 29 == 0, 1).otherwise(0)).cast("long")
-    return events.select(
+    return events.withColumn("own", own).select(
         F.col("user_id").alias("sid"), F.col("event_id").alias("at"), op.alias("op"), content.alias("content_type"),
-        F.when(F.col("user_id") % 2 == 0, F.lit(0)).cast("long").alias("epoch"), F.when(F.col("user_id") % 2 == 0, own).alias("producer_seq"),
-        F.when(F.col("user_id") % 3 == 0, F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("stream_seq"), F.octet_length("props").cast("long").alias("bytes"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("p"), F.col("event_id") % 2)).alias("producer"),
+        F.when(F.col("user_id") % 2 == 0, F.lit(0)).cast("long").alias("epoch"), F.when(F.col("user_id") % 2 == 0, F.expr("cast(own div 2 as long)")).alias("producer_seq"),
+        F.when(F.col("user_id") % 3 == 0, F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("stream_seq"),
+        F.when(F.col("event_id") % 31 == 5, 0).otherwise(F.octet_length("props")).cast("long").alias("bytes"), (F.col("event_id") % 90 == 13).alias("close"),
     )
 
 
-FIELDS = ["op", "content_type", "epoch", "producer_seq", "stream_seq", "bytes"]
+FIELDS = ["op", "content_type", "producer", "epoch", "producer_seq", "stream_seq", "bytes", "close"]
 
 
 @query()
 def stream_append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fold(_stream_commands(spark, sf_dir), ["sid"], ["at"], FIELDS, R.append_step, "outcome string, tail long")
+    return R.fold(_stream_commands(spark, sf_dir), ["sid"], ["at"], FIELDS, R.append_step, "outcome string, tail long, echo long")
+
+
+def lifecycle_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, at, op, ms, content_type, ttl_s: events as commands on 50 paths or more."""
+    event = F.col("event_id")
+    op = F.when(event % 7 == 0, "create").when(event % 41 == 3, "delete").when(event % 13 == 4, "fork").when(event % 13 == 9, "unfork").otherwise("read")
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("sid"), event.alias("at"), op.alias("op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        F.when(event % 5 == 0, "text/plain").otherwise("application/json").alias("content_type"), F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 3 * 400_000).cast("long").alias("ttl_s"),
+    )
 
 
 @query()
 def stream_lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each outcome came for each stream."""
-    return stream_append_replay(spark, sf_dir).groupBy("sid", "outcome").agg(F.count("*").alias("n"), F.max("tail").alias("tail"))
+    return R.fold(lifecycle_commands(spark, sf_dir), ["sid"], ["at"], ["op", "ms", "content_type", "ttl_s"], R.lifecycle_step, "outcome string, forks long")
 
 
 @query()
+def expiry_index_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touches = lifecycle_commands(spark, sf_dir).where("ttl_s IS NOT NULL")
+    return R.fold(touches, ["sid"], ["at"], ["ms", "ttl_s"], R.expiry_index_step, "moved boolean, due long")
+
+
+@query(
+    """WITH c AS (SELECT event_id % 97 AS client, event_id AS "at", 'c' || event_id % 11 AS connection, 'p' || user_id % 3 AS principal FROM events),
+       f AS (SELECT *, first_value(principal) OVER (PARTITION BY client ORDER BY "at") AS own FROM c),
+       g AS (SELECT *, last_value(CASE WHEN principal = own THEN connection END IGNORE NULLS) OVER (PARTITION BY client ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM f)
+       SELECT client, "at", CASE WHEN principal <> own THEN 'refused' WHEN held IS NULL THEN 'granted' WHEN held = connection THEN 'renewed' ELSE 'taken_over' END AS outcome,
+              CASE WHEN principal <> own THEN held ELSE connection END AS owner FROM g"""
+)
 def owner_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = read(spark, sf_dir, "events").select((F.col("event_id") % 97).alias("client"), F.col("event_id").alias("at"), F.concat(F.lit("c"), F.col("event_id") % 11).alias("connection"), F.concat(F.lit("p"), F.col("user_id") % 3).alias("principal"))
     return R.fold(claims, ["client"], ["at"], ["connection", "principal"], R.claim_step, "outcome string, owner string")

@@ -236,12 +236,44 @@ def test_conditional_writes():
 def test_stream_replay_outcomes():
     state = {}
     run = lambda *c: replay.append_step(state, c)[0]
-    assert run("append", "j", None, None, None, 5) == "not_found"
-    assert run("create", "j", None, None, None, 0) == "created" and run("create", "j", None, None, None, 0) == "exists" and run("create", "t", None, None, None, 0) == "conflict"
-    assert run("append", "t", None, None, None, 5) == "content_type_mismatch"
-    assert run("append", "j", 0, 0, "b", 5) == "appended" and run("append", "j", 0, 0, "c", 5) == "duplicate"
-    assert run("append", "j", 0, 1, "b", 5) == "stream_seq_conflict" and run("append", "j", 0, 1, "c", 5) == "appended"
-    assert run("close", "j", None, None, None, 0) == "closed_now" and run("append", "t", 9, 9, "a", 5) == "closed" and state["tail"] == 18
+    none = (None, None, None, None)
+    assert run("append", "j", *none, 5, False) == "not_found"
+    assert run("create", "j", *none, 0, False) == "created" and run("create", "j", *none, 0, False) == "exists" and run("create", "t", *none, 0, False) == "conflict"
+    assert run("append", "t", *none, 5, False) == "content_type_mismatch" and run("append", "j", *none, 0, False) == "bad_request"
+    assert run("append", "j", "w", 0, 0, "b", 5, False) == "appended" and run("append", "j", "w", 0, 0, "c", 5, False) == "duplicate"
+    assert run("append", None, "w", 0, 1, "b", 5, False) == "stream_seq_conflict" and run("append", None, "w", 0, 1, "c", 5, False) == "appended"
+    assert run("append", "j", "v", 0, 1, None, 5, False) == "gap" and run("append", "j", "v", 0, 0, None, 5, False) == "appended"  # producers are apart
+    assert run("close", "j", *none, 0, False) == "closed_now" and run("append", "t", "w", 9, 9, "a", 5, False) == "closed" and state["tail"] == 27
+    assert run("close", "j", *none, 0, False) == "already_closed" and run("append", "j", *none, 0, True) == "already_closed"
+
+
+def test_what_closed_a_stream_is_a_duplicate_when_sent_again():
+    state = {}
+    run = lambda *c: replay.append_step(state, c)
+    run("create", "j", None, None, None, None, 0, False)
+    assert run("append", "j", "w", 1, 0, None, 3, False) == ("appended", 7, 0)
+    assert run("close", None, "w", 0, 0, None, 0, False) == ("stale_epoch", 7, 1) and run("close", None, "w", 1, 2, None, 0, False) == ("gap", 7, 1)
+    assert run("close", None, "w", 1, 0, None, 0, False) == ("duplicate", 7, 0)  # seen before, so the stream stays open
+    assert run("append", "j", "w", 1, 1, None, 3, True) == ("appended", 14, 1)
+    assert run("append", "j", "w", 1, 1, None, 3, True) == ("duplicate", 14, 1) == run("close", None, "w", 1, 1, None, 0, False)
+    assert run("close", None, "w", 1, 2, None, 0, False) == ("closed", 14, None) and run("append", "j", "x", 1, 1, None, 3, False)[0] == "closed"
+    assert run("create", "j", None, None, None, None, 0, False)[0] == "conflict"  # not created closed
+
+
+def test_lifecycles():
+    state = {}
+    run = lambda *c: replay.lifecycle_step(state, c)[0]
+    assert run("read", 0, None, None) == "not_found" and run("create", 0, "j", 10) == "created" and run("create", 1, "j", 10) == "exists" and run("create", 1, "j", None) == "conflict"
+    assert run("read", 9_000, None, None) == "read" and run("read", 18_999, None, None) == "read" and run("read", 28_999, None, None) == "not_found"
+    assert run("create", 30_000, "t", None) == "created" and run("fork", 30_001, None, None) == "forked" and run("delete", 30_002, None, None) == "soft_deleted"
+    assert run("read", 30_003, None, None) == "gone" and run("create", 30_003, "t", None) == "conflict" and run("unfork", 30_004, None, None) == "reclaimed"
+    assert run("unfork", 30_004, None, None) == "not_found" and run("create", 30_005, "j", 1) == "created" and run("delete", 30_006, None, None) == "deleted"
+    assert run("create", 40_000, "j", 1) == "created" and run("fork", 40_001, None, None) == "forked" and run("read", 41_001, None, None) == "gone"
+
+
+def test_expiry_index_moves_once_in_a_tenth():
+    state = {}
+    assert [replay.expiry_index_step(state, (ms, 10)) for ms in (0, 999, 1000, 1500, 2000)] == [(True, 10_000), (False, 10_000), (True, 11_000), (False, 11_000), (True, 12_000)]
 
 
 def test_fold_equals_plain_python(spark):
