@@ -2,17 +2,20 @@
 
 Suffixes that start with the same `length` bytes must meet. Every window of that many bytes is put into the bucket of its anchor,
 the gram in it with the least hash, which equal windows share wherever they lie; so buckets are independent, and neighbouring
-windows with one anchor travel as one context. Contexts that occur twice as a whole need no sorting. The suffixes of the others are
-ordered bucket by bucket: a cover sample of positions, one in every COVER bytes, is ranked first to a depth that reaches into every
-window, and a suffix is then told from others by the bytes up to its next sample, that sample's rank, and the bytes after it. The
-contexts of a bucket are laid out with their anchors on sample positions, so one shift serves all suffixes that are compared. Memory
-is bounded by the bucket chunk; a bucket that would not fit is settled by counting window hashes.
+windows with one anchor travel as one context. Contexts whose bytes are equal as a whole, by a 128-bit hash, stand for each other: they
+are repeated, and one of them is sorted for all. The suffixes of the contexts that differ are ordered bucket by bucket: a cover sample of
+positions, one in every COVER bytes, is ranked first to a depth that reaches into every window, and a suffix is then told from others by
+the bytes up to its next sample, that sample's rank, and the bytes after it. Suffixes that may be equal lie at the same distance from
+their anchors, and anchors are laid out on sample positions; so the differences that the cover has to have are multiples of COVER, and
+one residue is a difference cover of them. Memory is bounded by the bucket chunk; a bucket of more contexts than a task should hold is
+refined to buckets of single windows, each of equal windows only, which are counted.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +47,10 @@ class Anchors:
         self.powers, self.inverses = _tables()
 
     def runs(self, buffer: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-        """low, high (first and last window start), anchor, gram, context for texts that end at ends in buffer."""
+        """low, high (first and last window start), anchor, gram, context and its check for texts that end at ends in buffer."""
         n, windows = len(buffer), len(buffer) - self.length + 1
         if windows <= 0:
-            return {k: np.zeros(0, np.int64) for k in ("low", "high", "anchor", "gram", "context")}
+            return {k: np.zeros(0, np.int64) for k in ("low", "high", "anchor", "gram", "context", "check")}
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[buffer] * self.powers[:n])])
         gram = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * self.inverses[: n - GRAM + 1])
         place = np.uint64((1 << 21) - 1)
@@ -61,15 +64,17 @@ class Anchors:
         sizes = np.diff(ends, prepend=0)
         inside = np.flatnonzero(np.arange(windows) + self.length <= np.repeat(ends, sizes)[:windows])
         if not len(inside):
-            return {k: np.zeros(0, np.int64) for k in ("low", "high", "anchor", "gram", "context")}
+            return {k: np.zeros(0, np.int64) for k in ("low", "high", "anchor", "gram", "context", "check")}
         fresh = np.ones(len(inside), bool)
         fresh[1:] = (np.diff(inside) > 1) | (np.diff(anchor[inside]) != 0)
         first = np.flatnonzero(fresh)
         low, high = inside[first], inside[np.append(first[1:], len(inside)) - 1]
         at = anchor[low]
-        whole = (sums[high + self.length] - sums[low]) * self.inverses[low]
-        context = mix(mix(whole + (high - low).astype(np.uint64)) + (at - low).astype(np.uint64))
-        return {"low": low, "high": high, "anchor": at, "gram": gram[at].astype(np.int64), "context": context.astype(np.int64)}
+        raw, length = buffer.tobytes(), self.length
+        # the anchor follows from the bytes, so equal bytes have it in the same place
+        whole = b"".join([xxhash.xxh3_128_digest(raw[a : b + length]) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        context, check = np.frombuffer(whole, np.int64).reshape(-1, 2).T
+        return {"low": low, "high": high, "anchor": at, "gram": gram[at].astype(np.int64), "context": context, "check": check}
 
 
 def _slices(raw: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,7 +105,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def context_rows(texts: DataFrame, length: int) -> DataFrame:
-    """gram, context, unit, low, high, anchor, weight for every run of windows of texts (unit, text).
+    """gram, context, check, unit, low, high, anchor, weight for every run of windows of texts (unit, text).
 
     Of equal contexts of a buffer the first stands for all (weight: their number); the others have weight 0.
     """
@@ -115,12 +120,12 @@ def context_rows(texts: DataFrame, length: int) -> DataFrame:
                 shift = offset[of] - (ends - np.diff(ends, prepend=0))[of]
                 weight = np.zeros(len(of), np.int32)
                 if len(of):
-                    both = mix(run["gram"].view(np.uint64)) ^ run["context"].view(np.uint64)
+                    both = np.stack([run["context"], run["check"]], axis=1).view("i8,i8").ravel()
                     _, first, count = np.unique(both, return_index=True, return_counts=True)
                     weight[first] = count
-                yield pd.DataFrame({"gram": run["gram"], "context": run["context"], "unit": units[number[of]], "low": run["low"] + shift, "high": run["high"] + shift, "anchor": run["anchor"] + shift, "weight": weight})
+                yield pd.DataFrame({"gram": run["gram"], "context": run["context"], "check": run["check"], "unit": units[number[of]], "low": run["low"] + shift, "high": run["high"] + shift, "anchor": run["anchor"] + shift, "weight": weight})
 
-    return texts.mapInPandas(emit, "gram long, context long, unit long, low long, high long, anchor long, weight int")
+    return texts.mapInPandas(emit, "gram long, context long, check long, unit long, low long, high long, anchor long, weight int")
 
 
 def cut_contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -255,20 +260,18 @@ def sort_buckets(contexts: DataFrame, length: int, chunk: int) -> DataFrame:
 
 
 def count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of any size: windows are counted by their hashes, aggregated before the shuffle."""
+    """The same for buckets of any size, refined to single windows: these are counted by 128-bit hashes, aggregated before the shuffle."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = Anchors(length)
         for batch in batches:
-            for gram, unit, low, is_open, raw in batch[["gram", "unit", "low", "open", "bytes"]].itertuples(index=False):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[np.frombuffer(raw, np.uint8)] * tool.powers[: len(raw)])])
+            for unit, low, is_open, raw in batch[["unit", "low", "open", "bytes"]].itertuples(index=False):
                 n = len(raw) - length + 1
-                window = mix((sums[length:] - sums[:n]) * tool.inverses[:n]).astype(np.int64)
-                yield pd.DataFrame({"window": window, "gram": gram, "unit": unit, "low": low + np.arange(n), "open": is_open})
+                found = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"window": found[:, 0], "check": found[:, 1], "unit": unit, "low": low + np.arange(n), "open": is_open})
 
-    windows = contexts.mapInPandas(emit, "window long, gram long, unit long, low long, open boolean")
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("k")).where("k > 1").select("gram", "window")
-    return windows.where("open").join(twice, ["gram", "window"], "left_semi").select("unit", "low", F.col("low").alias("high"))
+    windows = contexts.mapInPandas(emit, "window long, check long, unit long, low long, open boolean")
+    twice = windows.groupBy("window", "check").agg(F.count("*").alias("k")).where("k > 1").select("window", "check")
+    return windows.where("open").join(twice, ["window", "check"], "left_semi").select("unit", "low", F.col("low").alias("high"))
 
 
 def frequent_grams(texts: DataFrame, length: int, part: int = 64, least: int = 256) -> DataFrame:
@@ -284,7 +287,7 @@ def repeated_windows(texts: DataFrame, length: int, chunk: int, most_bucket: int
     # rows of weight 0 are known to be repeated and need no company; they are dealt out evenly
     spread = F.when(F.col("weight") == 0, -1 - F.pmod(F.xxhash64("unit", "low"), F.lit(1 << 12))).when(F.col("hot"), F.pmod("context", F.lit(1 << 12))).otherwise(0)
     rows = rows.withColumn("salt", spread.cast("int"))
-    bucket, same = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "context")
+    bucket, same = Window.partitionBy("gram", "salt"), Window.partitionBy("gram", "salt", "context", "check")
     rows = rows.withColumn("n", F.count("*").over(bucket)).withColumn("k", F.sum("weight").over(same))
     rows = rows.withColumn("k", F.when(F.col("weight") == 0, 2).otherwise(F.col("k"))).where((F.col("n") > 1) | (F.col("k") > 1) | F.col("hot"))
     rows = rows.withColumn("place", F.row_number().over(same.orderBy("unit", "low")))
@@ -303,7 +306,7 @@ def repeated_windows(texts: DataFrame, length: int, chunk: int, most_bucket: int
     return whole.unionByName(sort_buckets(rest, length, chunk)).unionByName(count_windows(contexts.join(large, "gram", "left_semi"), length))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, chunk: int = 8192, most_bucket: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, chunk: int = 8192, most_bucket: int = 32_768) -> DataFrame:
     """doc_id, n_bytes, spans (merged, start and end in UTF-8 bytes) and kept (the other bytes) for every row of docs (doc_id, text).
 
     A byte is removed if it lies in a string of `length` bytes that also starts anywhere else in the corpus, the same text included.
