@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.storage import discard, materialise, shared_dir  # noqa: F401  (for the other modules here)
 
 #: Rows and bytes of one Arrow batch. Texts may be very long, so that batches hold few of them.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Rows up to which a checked, two or three column table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 

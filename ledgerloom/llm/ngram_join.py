@@ -24,6 +24,8 @@ from .common import Words, checked_broadcast, discard, materialise, mix, rolled,
 from .components import connected_components
 
 SKETCH_BLOCK = 4096
+#: Bytes of text whose n-grams a task holds at once.
+SHARD = 1 << 20
 #: Parts that the rows of a hot token are dealt into.
 SALTS = 1 << 16
 #: Parts of the hash space whose parities the suffix filter compares, and the columns that hold them.
@@ -57,7 +59,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in shards(batches):
+        for batch in shards(batches, SHARD):
             rows = [(len(g), set_key(g), *parities(g)) for g in shingle_sets(list(batch["text"]), k)]
             out = pd.DataFrame(rows, columns=["n", "a", *PARITIES])
             yield batch[["doc_id", "unit"]].join(out)
@@ -75,7 +77,7 @@ def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
-        for batch in shards(batches):
+        for batch in shards(batches, SHARD):
             grams = [*shingle_sets(list(batch["text"]), k), np.zeros(0, np.uint64)]
             np.add.at(total, (np.concatenate(grams) >> shift).astype(np.int64), 1)
         pack = zstandard.ZstdCompressor(level=1)
@@ -117,7 +119,7 @@ def prefix_grams(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> D
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # at most a key for each row of this task's part of the input
-        for batch in shards(batches):
+        for batch in shards(batches, SHARD):
             tokens, keys, sizes, places = [], [], [], []
             for grams in shingle_sets(list(batch["text"]), k):
                 if (n := len(grams)) and (key := set_key(grams)) not in seen:
@@ -197,7 +199,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     wanted = materialise(members.unionByName(heads).join(classes.select("a", "unit"), "a"), "ngram-wanted")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in shards(batches):
+        for batch in shards(batches, SHARD):
             sets = list(shingle_sets(list(batch["text"]), k))
             out = batch[["a", "v", "part", "member"]].assign(grams=[g.tobytes() for g in sets])
             yield out[[set_key(g) == a for g, a in zip(sets, batch["a"], strict=True)]]  # of rows with one unit all but equal ones go
