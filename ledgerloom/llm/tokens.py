@@ -9,11 +9,12 @@ from itertools import chain
 
 import numpy as np
 
-from .common import mix
+from .common import span_hashes
 
 #: Classes of characters for the splitting pattern.
 SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = range(5)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Places of the table of common words, and characters that are split at a time.
+SLOTS, GROUP_CHARS = 1 << 20, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -42,10 +43,10 @@ class Encoder:
     The vocabulary's pattern splits texts into words that are encoded independently. Here the split is done for a whole batch with
     array operations, and only words that this worker has not met are handed to the library. Texts with an apostrophe (the
     pattern's contractions) or with characters outside the Unicode of this Python go to the library whole. Words are told apart by
-    a 64-bit hash together with their length; the store of known words is emptied at most_words, so memory is bounded.
+    a 64-bit hash; the store of known words is emptied when it is over most_words, so memory is bounded.
     """
 
-    def __init__(self, path: str | None = None, most_words: int = 1_000_000):
+    def __init__(self, path: str | None = None, most_words: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,7 +59,10 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
-        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        # where the last word with these low bits of its hash is: most words are found here, without a search
+        self.slot_hash, self.slot_word = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.word = np.zeros(0, np.int32)  # the number of each known word, in order of learning
+        self.start, self.count, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,7 +82,7 @@ class Encoder:
             if i >= 0:
                 group.append(i)
                 size += len(texts[i])
-            if group and (i < 0 or size >= 1 << 20):
+            if group and (i < 0 or size >= GROUP_CHARS):
                 for j, ids in zip(group, self._split([texts[j] for j in group]), strict=True):
                     out[j] = ids
                 group, size = [], 0
@@ -108,22 +112,25 @@ class Encoder:
         starts &= ~joined
         at = np.flatnonzero(starts)
         size = np.diff(at, append=len(codes))
-        hashes = _hashes(codes, at, size)
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.ones(len(distinct), dtype=bool)
-        if len(self.known):
-            place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-            new = self.known[place] != distinct
-        if new.any():
-            if len(self.known) + new.sum() > self.most_words and len(self.known):
-                self._forget()
-                new[:] = True
-            fresh = where[new]
-            words = [whole[a : a + n] for a, n in zip(at[fresh].tolist(), size[fresh].tolist(), strict=True)]
-            self._learn(distinct[new], self._lists(words))
-        place = np.searchsorted(self.known, distinct)
-        word = place[inverse]
-        count = self.count[word]
+        hashes = _hashes(whole, codes, at, size)
+        if len(self.known) > self.most_words:
+            self._forget()
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        word = self.slot_word[slot]
+        missed = np.flatnonzero(self.slot_hash[slot] != hashes)
+        if len(missed):
+            distinct, where, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            found = self._places(distinct)
+            new = found < 0
+            if new.any():
+                fresh = missed[where[new]]
+                words = [whole[a : a + n] for a, n in zip(at[fresh].tolist(), size[fresh].tolist(), strict=True)]
+                self._learn(distinct[new], self._lists(words))
+                found = self._places(distinct)
+            first = slot[missed[where]]
+            self.slot_hash[first], self.slot_word[first] = distinct, found
+            word[missed] = found[inverse]
+        count = self.count[word].astype(np.int64)
         ends = np.cumsum(count)
         offset = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(ends - count, count)
         ids = self.pool[np.repeat(self.start[word], count) + offset]
@@ -132,13 +139,21 @@ class Encoder:
         cuts[of_text == 0] = 0
         return np.split(ids, cuts[1:])
 
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known words, -1 for others."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[place] == hashes, self.word[place], -1)
+
     def _learn(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.pool) + np.cumsum(count) - count
-        known = np.concatenate([self.known, hashes])
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        number = len(self.count) + np.arange(len(hashes), dtype=np.int32)
+        known, word = np.concatenate([self.known, hashes]), np.concatenate([self.word, number])
         order = np.argsort(known, kind="stable")  # two sorted runs, which this merges
-        self.known = known[order]
-        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+        self.known, self.word = known[order], word[order]
+        self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(count) - count).astype(np.int32)])
+        self.count = np.concatenate([self.count, count])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.dtype, int(count.sum()))])
 
 
@@ -148,7 +163,11 @@ def worker_encoder(path: str | None) -> Encoder:
     return Encoder(path)
 
 
-def _hashes(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    place = np.arange(len(codes), dtype=np.uint64) - np.repeat(at, size).astype(np.uint64)
-    values = mix(codes.astype(np.uint64) + (place + np.uint64(1)) * _GOLD)
-    return mix(np.add.reduceat(values, at) + size.astype(np.uint64) * _GOLD)
+def _hashes(whole: str, codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words' UTF-8 bytes; none is 0, which marks an empty slot."""
+    raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends = at, at + size
+    if len(raw) != len(codes):
+        before = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+        starts, ends = before[starts], before[ends]
+    return np.maximum(span_hashes(raw, starts, ends), np.uint64(1))
