@@ -27,6 +27,8 @@ class Phrases:
     item_ids: list[str]
 
 
+#: Bytes of text that one index holds.
+SHARD = 1 << 20
 #: The symbol of text breaks and of words that no item has.
 BREAK = 1
 
@@ -91,7 +93,7 @@ def find_contamination(docs: DataFrame, phrases: Phrases) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in shards(batches):
+        for batch in shards(batches, SHARD):
             words = Words(list(batch["text"]), "ascii_alnum")
             hit = np.zeros(len(words.hashes) + 1, np.int64)
             doc_items = np.zeros((0, 2), np.int64)
