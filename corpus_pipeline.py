@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import free_name, materialise
-from ledgerloom.llm.decontaminate import benchmark_phrases, find_contamination
+from ledgerloom.llm.decontaminate import contamination
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.language_id import held_out, identify_language, language_dictionaries
 from ledgerloom.llm.ngram_join import similar_documents
@@ -70,8 +70,7 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a window of benchmark words; null texts have none."""
-    phrases = benchmark_phrases(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    judged = find_contamination(keyed(docs), phrases)
+    judged = contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, judged.where("n_hit > 0").select(F.col("doc_id").alias("key")))
 
 

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shards, small_batches
+from .common import Words, materialise, shards, small_batches
 from .fm_index import FMIndex
 
 
@@ -27,18 +27,20 @@ class Phrases:
     item_ids: list[str]
 
 
+#: Bytes of benchmark text that are sent to the tasks at once; their windows take about a hundred times as much memory.
+MOST_BYTES = 4 << 20
 #: Bytes of text that one index holds.
 SHARD = 1 << 20
 #: The symbol of text breaks and of words that no item has.
 BREAK = 1
 
 
-def benchmark_phrases(benchmark: DataFrame, window: int = 10, most_bytes: int = 64 << 20) -> Phrases:
+def benchmark_phrases(benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES) -> Phrases:
     """The windows of benchmark (item_id, text). An item of fewer words is one window; one without words has none.
 
-    A benchmark is a bounded list; its size is checked before it is sent to the tasks. A larger one must be given in parts.
+    Its size is checked before it is sent to the tasks; `contamination` takes a larger benchmark in parts.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    size = _bytes_of(benchmark)
     if size > most_bytes:
         raise ValueError(f"the benchmark has {size} bytes; give it in parts of at most {most_bytes}")
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").collect()
@@ -66,6 +68,27 @@ def benchmark_phrases(benchmark: DataFrame, window: int = 10, most_bytes: int =
     return Phrases(vocabulary, list(windows), symbols, lengths, first, np.array([i for o in owners for i in o], np.int64), item_ids)
 
 
+def _bytes_of(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+
+
+def benchmark_parts(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[tuple[DataFrame, int]]:
+    """benchmark as parts of about most_bytes, with the bytes of each. A single text of more is a part of its own size."""
+    total = _bytes_of(benchmark)
+    if total <= most_bytes:
+        return [(benchmark, total)]
+    buckets = -(-4 * total // most_bytes)
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets))
+    sizes = benchmark.where("text IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy("bucket").collect()
+    ranges = []  # first bucket, last bucket, bytes
+    for b, n in sizes:
+        if ranges and ranges[-1][2] + n <= most_bytes:
+            ranges[-1][1:] = [b, ranges[-1][2] + n]
+        else:
+            ranges.append([b, b, n])
+    return [(benchmark.where(bucket.between(first, last)), n) for first, last, n in ranges]
+
+
 def shard_sequence(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shard as symbols, and the word at each (-1 at breaks). A run of words outside the vocabulary is one break."""
     if not len(words.hashes):
@@ -83,13 +106,11 @@ def shard_sequence(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return symbols, word
 
 
-def find_contamination(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted strings) and spans (merged, in UTF-8 bytes) for every row of docs (doc_id, text).
+RUNS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 
-    Words are case-folded for A-Z and split at ASCII characters other than letters and digits. A word is hit if it lies in any
-    occurrence of a window. Null and empty texts have no words, items without identifier are hit but not listed. Repeated rows give
-    repeated results, an empty table or benchmark gives no hits; other columns are dropped.
-    """
+
+def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """doc_id, n_words, item_ids and runs of hit words (numbers of the first and last word, start and end in bytes)."""
     small_batches(docs.sparkSession)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,16 +142,71 @@ def find_contamination(docs: DataFrame, phrases: Phrases) -> DataFrame:
             for i, doc_id in enumerate(batch["doc_id"]):
                 a, b = words.first[i], words.first[i + 1]
                 own = covered[a:b]
-                spans = []
+                runs = []
                 if own.any():
                     edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)) + a
-                    spans = [{"start": int(words.starts[x] - text_start[i]), "end": int(words.ends[y - 1] - text_start[i])} for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                    runs = [{"first": int(x - a), "last": int(y - a) - 1, "start": int(words.starts[x] - text_start[i]), "end": int(words.ends[y - 1] - text_start[i])} for x, y in zip(edges[::2], edges[1::2], strict=True)]
                 items = sorted(phrases.item_ids[k] for k in doc_items[per_doc[i] : per_doc[i + 1], 1])
-                rows_out.append((doc_id, int(b - a), int(own.sum()), items, spans))
-            yield pd.DataFrame(rows_out, columns=["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                rows_out.append((doc_id, int(b - a), items, runs))
+            yield pd.DataFrame(rows_out, columns=["doc_id", "n_words", "item_ids", "runs"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(search, f"doc_id {id_type}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>")
+    return docs.select("doc_id", "text").mapInPandas(search, f"doc_id {id_type}, n_words long, item_ids array<string>, runs {RUNS}")
+
+
+def _report_columns() -> list[Column]:
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    return [F.col("doc_id"), F.col("n_words"), n_hit.alias("n_hit"), F.col("item_ids"), spans.alias("spans")]
+
+
+def find_contamination(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (sorted strings) and spans (merged, in UTF-8 bytes) for every row of docs (doc_id, text).
+
+    Words are case-folded for A-Z and split at ASCII characters other than letters and digits. A word is hit if it lies in any
+    occurrence of a window. Null and empty texts have no words, items without identifier are hit but not listed. Repeated rows give
+    repeated results, an empty table or benchmark gives no hits; other columns are dropped.
+    """
+    return _search(docs, phrases).select(*_report_columns())
+
+
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of all parts' rows of a text: overlapping and adjacent runs of words become one."""
+    for batch in batches:
+        rows = []
+        for unit, n_words, found in batch[["unit", "n_words", "found"]].itertuples(index=False):
+            runs = []
+            for r in sorted(((r["first"], r["last"], r["start"], r["end"]) for f in found for r in f["runs"])):
+                if runs and r[0] <= runs[-1]["last"] + 1:
+                    runs[-1].update(last=max(runs[-1]["last"], r[1]), end=max(runs[-1]["end"], r[3]))
+                else:
+                    runs.append(dict(zip(("first", "last", "start", "end"), r, strict=True)))
+            rows.append((unit, n_words, sorted({i for f in found for i in f["item_ids"]}), runs))
+        yield pd.DataFrame(rows, columns=["unit", "n_words", "item_ids", "runs"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The columns of find_contamination for benchmark (item_id, text) of any size.
+
+    A benchmark of over most_bytes is searched part by part, each in a pass of its own over docs, so neither the driver nor a task
+    holds more than one part; the runs of the passes are merged by a hash of identifier and text. All else is as find_contamination says.
+    """
+    parts = benchmark_parts(benchmark, most_bytes)
+    if len(parts) == 1:
+        return find_contamination(docs, benchmark_phrases(parts[0][0], window, parts[0][1]))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.length("text")).alias("unit"))
+    texts = rows.select(F.col("unit").alias("doc_id"), "text")
+    passes = []
+    for number, (part, size) in enumerate(parts):
+        found = _search(texts, benchmark_phrases(part, window, size))
+        found = found if number == 0 else found.where(F.size("runs") > 0)  # the first pass tells the words of all
+        passes.append(materialise(found.groupBy(F.col("doc_id").alias("unit")).agg(F.first("n_words").alias("n_words"), F.first(F.struct("item_ids", "runs")).alias("found")), "benchmark-part"))
+    union = passes[0]
+    for table in passes[1:]:
+        union = union.unionByName(table)
+    merged = union.groupBy("unit").agg(F.max("n_words").alias("n_words"), F.collect_list("found").alias("found"))
+    merged = merged.mapInPandas(_merge, f"unit long, n_words long, item_ids array<string>, runs {RUNS}")
+    return rows.select("doc_id", "unit").join(merged, "unit").select(*_report_columns())
 
 
 def contamination_report(found: DataFrame) -> DataFrame:

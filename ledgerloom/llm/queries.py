@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import benchmark_phrases, contamination_report, find_contamination
+from .decontaminate import contamination, contamination_report
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify_language, language_dictionaries
 from .line_dedup import delete_repeated_lines
@@ -32,8 +32,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = benchmark_phrases(table(spark, sf_dir, "benchmark"))
-    return contamination_report(find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), phrases))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_report(contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
